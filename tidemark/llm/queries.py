@@ -8,13 +8,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate
+from .importance_resampling import resample
+from .license_scan import scan_licenses
+from .packing import pack
 from .quality_rules import quality_rules
+from .suffix_dedup import remove_repeats
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of a tree: one directory per source, language and run of 64 ids. A document that opens with a
+    line about a licence is its directory's licence file."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    name = F.when(F.substring_index("text", "\n", 1).rlike("(?i)licen[cs]e"), "LICENSE-").otherwise("")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), F.concat(name, F.col("doc_id").cast("string")))
+    found = scan_licenses(docs.select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "license_origin", "license_from")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -66,6 +80,26 @@ SELECT doc_id, n::BIGINT n_words, length(s)::BIGINT word_chars, length(regexp_re
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, encode(coalesce(text, '')) b FROM documents),
+h AS (SELECT doc_id, lower(hex(b)) x, octet_length(b) n FROM d),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) i FROM h WHERE n >= 100)),
+f AS (SELECT k, min((doc_id, i)) m FROM w GROUP BY k),
+l AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) > m),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL nw FROM l),
+s AS (SELECT doc_id, min(i) a, max(i) + 100 e FROM (SELECT doc_id, i, sum(nw::INT) OVER (PARTITION BY doc_id ORDER BY i) r FROM g) GROUP BY doc_id, r),
+r AS (SELECT doc_id, sum(e - a) n_removed, count(*) n_spans, list(a ORDER BY a) a, list(e ORDER BY a) e FROM s GROUP BY doc_id)
+SELECT doc_id, n::BIGINT n_bytes, coalesce(n_removed, 0)::BIGINT n_removed, coalesce(n_spans, 0)::BIGINT n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda j: substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * e[j] + 1 END, 2 * (CASE WHEN j = n_spans THEN n ELSE a[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE e[j] END))), '') END)) kept_sha256
+FROM h LEFT JOIN r USING (doc_id)
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = f"{chat_format.END}{chat_format.START}assistant ok"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -90,9 +124,25 @@ SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(r || chr(10) || t ||
   sum(12 + length(er) + 1 + length(et) + 11)::BIGINT formatted_chars FROM e GROUP BY conv_id
 """
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: labelled rows of good quality that are not toxic."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).cast("boolean").alias("target"))
+    found = resample(docs.join(labels, "doc_id", "left"), "target")
+    return found.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"), "kept")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_importance_resampling": op9_importance_resampling,
+    "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_quality_rules": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_format": OP8_SQL}
