@@ -50,6 +50,8 @@ def arrow_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if len(texts) and (texts.offset or np.frombuffer(texts.buffers()[1], np.int64)[0]):  # the string kernels below misread what was sliced
+        texts = texts.take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat_format, decontaminate
 from .importance_resampling import resample
 from .license_scan import scan_licenses
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
@@ -29,6 +30,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "license_origin", "license_from")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -138,6 +143,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
