@@ -100,7 +100,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit polynomial hashes of all substrings of a byte array: random value per byte, powers of an odd base, then mixed."""
+    """64-bit polynomial hashes of all substrings of an integer array: random value per byte or number, powers of an odd base, then mixed."""
 
     table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -108,7 +108,7 @@ class RollingHash:
         base = int(_BASE) ^ (seed << 1)
         self.inverse = _powers(_inverse(base), len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * _powers(base, len(data) + 1)[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum((self.table[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + _BASE)) * _powers(base, len(data) + 1)[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of bounds."""

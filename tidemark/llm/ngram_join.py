@@ -9,7 +9,6 @@ segments, which count two points. Candidates are verified on the whole sets.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, components, hash_words, mix64, partitions_for, stage_table
+from .common import arrow_words, hash_words, mix64, partitions_for, stage_table
+from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, link_components, star_nodes
 
 CHUNK = 2 << 20
-#: Roles of a signature: in the index, a probe, with one element deleted.
-INDEX, PROBE, DELETED = 1, 2, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-KEYS = "part int, key binary, node binary, role binary"
 #: Bins of a set's sketch: what two sketches differ by, two sets differ by at least.
 BINS = 128
 
@@ -130,47 +127,6 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         start = end
 
 
-def star_rows(key: np.ndarray, node: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, centre, member): each bucket's members around one that is both indexed and probing; where there is none, its
-    (indexed, probing) pairs. Buckets with the same members give one. Bucket 0: pairs that need no completion."""
-    order = np.lexsort((role & DELETED, node, key))
-    key, node, role = key[order], node[order], role[order]
-    cut = np.concatenate(([True], key[1:] != key[:-1]))
-    head = np.flatnonzero(cut)
-    size = np.diff(np.append(head, len(key)))
-    group = np.repeat(np.arange(len(head)), size)
-    varied = np.zeros(len(head), bool)
-    np.logical_or.at(varied, group[1:], (node[1:] != node[:-1]) & ~cut[1:])
-    probes = np.zeros(len(head), bool)
-    np.logical_or.at(probes, group, (role & PROBE) > 0)
-    keep = (varied & probes)[group]
-    if not keep.any():
-        return (np.zeros(0, np.int64),) * 3
-    key, node, role, group = key[keep], node[keep], role[keep], group[keep]
-    able = (role & (INDEX | PROBE | DELETED)) == (INDEX | PROBE)
-    centre = np.full(len(head), np.iinfo(np.int64).max)
-    np.minimum.at(centre, group[able], node[able])
-    lone = centre[group] == np.iinfo(np.int64).max
-    rest = defaultdict(lambda: ([], []))
-    for g, x, r in zip(group[lone].tolist(), node[lone].tolist(), role[lone].tolist(), strict=True):
-        rest[g][0].append((x, r)) if r & INDEX else None
-        rest[g][1].append((x, r)) if r & PROBE else None
-    direct = {(min(x, y), max(x, y)) for i, p in rest.values() for x, r in i for y, s in p if x != y and not (r & s & DELETED)}
-    group, node = group[~lone], node[~lone]
-    c = centre[group]
-    first = np.ones(len(node), bool)
-    first[1:] = (group[1:] != group[:-1]) | (node[1:] != node[:-1])
-    group, node, c = group[first], node[first], c[first]
-    mark = np.zeros(len(head), np.uint64)
-    np.add.at(mark, group, mix64(node.view(np.uint64)))
-    mark = mark.view(np.int64)[group]
-    other = node != c
-    rows = np.unique(np.stack((mark[other], c[other], node[other]), axis=1), axis=0)
-    extra = np.array([(0, x, y) for x, y in direct], np.int64).reshape(-1, 3)
-    rows = np.concatenate((rows, extra))
-    return rows[:, 0], rows[:, 1], rows[:, 2]
-
-
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose whole sets reach the similarity. Both joins are on nodes and can be split where one is hot."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
@@ -191,26 +147,6 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def across(members: pa.Table, percent: int, block: int = 64) -> pa.Table:
-    """(a, b): pairs of a bucket's members in different components whose sizes and sketches allow the similarity."""
-    n = members.column("n").to_numpy()
-    order = np.argsort(n, kind="stable")
-    n, node, component = n[order], members.column("node").to_numpy()[order], members.column("component").to_numpy()[order]
-    sketch = np.frombuffer(b"".join(members.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
-    out = []
-    for start in range(0, len(n), block):
-        i = np.arange(start, min(start + block, len(n)))
-        j = np.arange(start, int(np.searchsorted(percent * n, 100 * n[i[-1]], side="right")))
-        x, y = np.nonzero((component[i][:, None] != component[j][None, :]) & (i[:, None] < j[None, :]))
-        for part in range(0, len(x), 1 << 16):
-            u, v = i[x[part : part + (1 << 16)]], j[y[part : part + (1 << 16)]]
-            differ = np.abs(sketch[u] - sketch[v]).sum(axis=1, dtype=np.int64)
-            ok = ((100 + percent) * differ <= (100 - percent) * (n[u] + n[v])) & (100 * n[u] >= percent * n[v])
-            out.append(np.sort(np.stack((node[u[ok]], node[v[ok]])), axis=0))
-    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id) for each row of docs; other columns are left out.
 
@@ -250,23 +186,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 use = fresh[owner]
                 found = [scheme.signatures(owner[use], shingle[use], sizes, below) for below in (False, True)]
                 of, keys, role = (np.concatenate(x) for x in zip(*found, strict=True))
-                part = (keys % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.flatnonzero(np.diff(part[order])) + 1
-                rows = [(int(part[r[0]]), keys[r].tobytes(), node[of[r]].tobytes(), role[r].tobytes()) for r in np.split(order, cut) if len(r)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "key", "node", "role"])
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = defaultdict(list)
-        for batch in batches:
-            for r in batch.to_pylist():
-                held[r["part"]].append(r)
-        for part in list(held):
-            rows = held.pop(part)
-            got = [np.frombuffer(b"".join(r[f] for r in rows), t) for f, t in (("key", np.uint64), ("node", np.int64), ("role", np.uint8))]
-            h, c, x = star_rows(*got)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (h, c, x)], names=["h", "c", "x"])
+                if len(keys):
+                    yield key_batch(keys, node[of], role, parts)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,29 +200,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 yield pa.RecordBatch.from_arrays([pa.array(node[good], pa.int64()), pa.array([shingle[ends[i] : ends[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "items"])
 
     rows = stage_table(source.mapInArrow(describe, "_key long, n_shingles long, node long, bins binary"), "sets")
-    stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket, "h long, c long, x long").distinct(), "stars")
-    pairs = stage_table(stars.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "pairs")
-    wanted = stars.select(F.col("c").alias("node")).unionByName(stars.select(F.col("x").alias("node"))).distinct()
-    keep = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
-    keep = stage_table(keep, "nodes")
-    sets = source.join(keep.select("_key", "node"), "_key").select("node", "_text").mapInArrow(shingles, "node long, items binary")
+    stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket_stars, STARS).distinct(), "stars")
+    nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
+    nodes = stage_table(nodes, "nodes")
+    sets = source.join(nodes.select("_key", "node"), "_key").select("node", "_text").mapInArrow(shingles, "node long, items binary")
     sets = stage_table(sets.groupBy("node").agg(F.first("items").alias("items")), "shingles")
-    edges = stage_table(similar_pairs(pairs, sets, percent), "links")
-    found = components(edges)
-    failed = pairs.join(edges, ["a", "b"], "left_anti")
-    # Buckets with a failed pair whose members are in several components: verify pairs across those.
-    open_ = stars.withColumns({"a": F.least("c", "x"), "b": F.greatest("c", "x")}).where("h <> 0").join(failed, ["a", "b"], "left_semi").select("h").distinct()
-    own = stars.join(open_, "h", "left_semi")
-    members = own.select("h", F.col("c").alias("node")).unionByName(own.select("h", F.col("x").alias("node"))).distinct()
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    members = members.join(several, "h", "left_semi")
-    members = members.join(keep.select("node", "bins", "n"), "node")
-    more = members.groupBy("h").applyInArrow(lambda t: across(t, percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stage_table(more, "pairs")
-    linked = stage_table(similar_pairs(more, sets, percent), "links")
-    edges = edges.unionByName(linked)
-    found = components(edges)
+
+    def allowed(differ: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        return ((100 + percent) * differ <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
+
+    found = link_components(stars, nodes, lambda pairs: similar_pairs(pairs, sets, percent), allowed)
     label = rows.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = label.where("n_shingles > 0").groupBy("label").agg(F.min("_key").alias("component_id"))
     out = label.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key")))
