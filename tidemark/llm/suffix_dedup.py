@@ -122,11 +122,22 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[rows[0]]), rows
 
 
+def _planes(values: np.ndarray, kind: type) -> bytes:
+    """Bytes of an array, first bytes of all values first: the equal high bytes of ids and offsets then compress well."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def _rows(kind: int, part: np.ndarray, fields: dict[str, np.ndarray], data: dict[int, bytes] | None = None) -> list[dict]:
     """A row per part with the part's values of each field as bytes."""
     out = []
     for p, rows in _split(part):
-        out.append({"kind": kind, "part": p, "data": data[p] if data else b""} | {f: fields[f][rows].astype(t).tobytes() if f in fields else b"" for f, t in FIELDS.items()})
+        out.append({"kind": kind, "part": p, "data": data[p] if data else b""} | {f: _planes(fields[f][rows], t) if f in fields else b"" for f, t in FIELDS.items()})
     return out
 
 
@@ -136,7 +147,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _joined(rows: list[dict], *fields: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(r[f] for r in rows), FIELDS[f]) for f in fields]
+    return [np.concatenate([np.zeros(0, FIELDS[f]), *(_values(r[f], FIELDS[f]) for r in rows)]) for f in fields]
 
 
 def _raw(texts: pa.Array) -> list[bytes]:
@@ -245,6 +256,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                 held[r["part"]].append(r)
         for part in list(held):
             rows = held.pop(part)
+            yield _batch([r for r in rows if r["kind"] == RUNS])
             cold = [r for r in rows if r["kind"] == BYTES]
             doc, tag, block, a, m = _joined(cold, "doc", "tag", "block", "a", "n")
             fp, rep, step = windows_of(b"".join(r["data"] for r in cold), m.astype(np.int64), length)
@@ -284,9 +296,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     blocks = source.repartition(n, "_block")
     mixed = second.where(F.col("kind") == MIXED).withColumn("_block", F.col("part"))
     third = blocks.groupBy("_block").cogroup(mixed.groupBy("_block")).applyInArrow(lambda x, y: fetch(x, y.drop_columns(["_block"])), BLOBS)
-    third = stage_table(third, "suffix-bytes")
-    fourth = third.where(F.col("kind").isin(BYTES, WINDOWS)).repartition(n, "part").mapInArrow(compare, BLOBS)
-    runs = first.unionByName(second).unionByName(third).where(F.col("kind") == RUNS).unionByName(fourth).withColumn("_block", F.col("part"))
+    fourth = third.repartition(n, "part").mapInArrow(compare, BLOBS)
+    runs = first.unionByName(second).where(F.col("kind") == RUNS).unionByName(fourth).withColumn("_block", F.col("part"))
     out = blocks.groupBy("_block").cogroup(runs.groupBy("_block")).applyInArrow(finish, "_key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("_key", key)
 
