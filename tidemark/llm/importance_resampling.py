@@ -75,21 +75,23 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, small: int
     return values[k - above - 1]
 
 
-def resample(docs: DataFrame, target: str, text: str = "text", key: str = "doc_id", share: float | None = None, dim: int = 1 << 16, seed: int = 7) -> DataFrame:
-    """docs with log_weight, sample_key and kept in place of columns so named; the target column goes.
-
-    target (boolean, null: not labelled) marks rows of the target distribution; false marks labelled rows that are not.
-    log_weight is the sum over hashed unigrams and bigrams of the two models' log ratio, sample_key adds Gumbel noise
-    drawn from a hash of `key` and seed, and kept marks the share of all rows with the largest keys (default: the target's
-    share of labelled rows; all rows without labels), rows that tie with the last one included. Null or empty texts
-    weigh 0. Only `dim` counts and bounded histograms reach the driver. Columns of other names are left as they are.
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "target", share: float | None = None, dim: int = 1 << 16, seed: int = 7) -> DataFrame:
+    """docs with log_weight, sample_key and kept in place of columns so named.
+
+    labels: key and target, true for rows of the target distribution, false for others that were judged; of several rows
+    for a key one that is true wins, null targets are left out. log_weight is the sum over hashed unigrams and bigrams of
+    the two models' log ratio, sample_key adds Gumbel noise drawn from a hash of the key and seed, and kept marks the share of
+    all rows with the largest keys (default: the share of the labels that are true; all rows without labels), rows that tie
+    with the last one included. Null or empty texts weigh 0. Only `dim` counts and bounded histograms reach the driver; texts
+    move between tasks once, to meet their labels. Columns of other names are left as they are.
     """
     spark = docs.sparkSession
     docs = docs.select(*(c for c in docs.columns if c not in SCORES))
-    counted = docs.agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("t"), F.count(target).alias("m")).first()
-    ratios = spark.sparkContext.broadcast(log_ratios(fit_models(docs, text, target, dim), dim))
-    own = [c for c in docs.columns if c != target]
-    out = docs.select(*own)
+    judged = labels.where(F.col(target).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(target).cast("boolean")).alias("_target"))
+    counted = judged.agg(F.sum(F.col("_target").cast("long")).alias("t"), F.count("*").alias("m")).first()
+    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(judged, "_key", "left")
+    ratios = spark.sparkContext.broadcast(log_ratios(fit_models(known, "_text", "_target", dim), dim))
+    out, own = docs, list(docs.columns)
     at = own.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +103,8 @@ def resample(docs: DataFrame, target: str, text: str = "text", key: str = "doc_i
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     scored = out.mapInArrow(score, spark.createDataFrame([], f"{fields}, log_weight double").schema)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    scored = stage_table(scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "resample")
+    scored = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
     wanted = share if share is not None else (counted["t"] or 0) / counted["m"] if counted["m"] else 1.0
-    last = kth_largest(scored, "sample_key", round(wanted * counted["n"]))
+    keys = stage_table(scored.select("sample_key"), "sample-keys")
+    last = kth_largest(keys, "sample_key", round(wanted * keys.count()))
     return scored.withColumn("kept", F.col("sample_key") >= F.lit(last) if last is not None else F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat_format, decontaminate
 from .importance_resampling import resample
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -85,6 +86,11 @@ SELECT doc_id, n::BIGINT n_words, length(s)::BIGINT word_chars, length(regexp_re
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -132,8 +138,8 @@ SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(r || chr(10) || t ||
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: labelled rows of good quality that are not toxic."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).cast("boolean").alias("target"))
-    found = resample(docs.join(labels, "doc_id", "left"), "target")
+    labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+    found = resample(docs, labels)
     return found.select("doc_id", F.round("log_weight", 6).alias("log_weight"), F.round("sample_key", 6).alias("sample_key"), "kept")
 
 
@@ -146,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_importance_resampling": op9_importance_resampling,
