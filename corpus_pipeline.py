@@ -5,21 +5,43 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate
 from tidemark.llm.common import work_dir
-from tidemark.llm.quality_rules import RULE_COLUMNS, quality_rules
+from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.ngram_join import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.quality_rules import quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each class of repeated lines keeps its first; a document that loses all its words goes, one that had none stays."""
+    out = dedup_lines(docs.select(*docs.columns))
+    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8), once."""
+    groups = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality), ("decontaminate", decontaminated)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", unique_lines), ("ngram_join", one_of_each), ("decontaminate", decontaminated), ("packing", packed)]
 
 #: Line dedup, the near-duplicate join and the packing programme have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None

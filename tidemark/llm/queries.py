@@ -11,6 +11,7 @@ from . import chat_format, decontaminate
 from .importance_resampling import resample
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .lm_scoring import score_texts
 from .ngram_join import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -31,6 +32,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "license_origin", "license_from")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
@@ -149,6 +155,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
