@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,18 @@ def arrow_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arr
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, counts.astype(np.int64)
 
 
+def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(offset, texts) of about `size` bytes each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.cumsum(np.array([len(x) if x else 0 for x in column.cast(pa.large_binary()).to_pylist()], np.int64) + 64)
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size, side="right")))
+        yield start, column.slice(start, end - start)
+        start = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser over uint64 arrays."""
     x = x.astype(np.uint64, copy=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, mix64, stage_table
+from .common import arrow_words, hash_words, mix64, pieces, stage_table
 
 MODEL = "_bucket int, _raw long, _target long"
 SCORES = ("log_weight", "sample_key", "kept")
@@ -33,9 +33,11 @@ def fit_models(docs: DataFrame, text: str, target: str, dim: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, wanted = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
         for batch in batches:
-            buckets, owner = features(batch.column(0), dim)
-            raw += np.bincount(buckets, minlength=dim)
-            wanted += np.bincount(buckets[batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)[owner]], minlength=dim)
+            target_rows = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            for start, texts in pieces(batch.column(0)):
+                buckets, owner = features(texts, dim)
+                raw += np.bincount(buckets, minlength=dim)
+                wanted += np.bincount(buckets[target_rows[start + owner]], minlength=dim)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(wanted[at])], names=["_bucket", "_raw", "_target"])
 
@@ -89,16 +91,18 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     docs = docs.select(*(c for c in docs.columns if c not in SCORES))
     judged = labels.where(F.col(target).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(target).cast("boolean")).alias("_target"))
     counted = judged.agg(F.sum(F.col("_target").cast("long")).alias("t"), F.count("*").alias("m")).first()
-    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(judged, "_key", "left")
+    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(judged.hint("merge"), "_key", "left")  # labels grow with the texts
     ratios = spark.sparkContext.broadcast(log_ratios(fit_models(known, "_text", "_target", dim), dim))
     out, own = docs, list(docs.columns)
     at = own.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, owner = features(batch.column(at), dim)
-            weight = np.bincount(owner, weights=ratios.value[buckets], minlength=batch.num_rows) if len(owner) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight.astype(np.float64))], names=[*own, "log_weight"])
+            weight = np.zeros(batch.num_rows)
+            for start, texts in pieces(batch.column(at)):
+                buckets, owner = features(texts, dim)
+                weight[start : start + len(texts)] = np.bincount(owner, weights=ratios.value[buckets], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*own, "log_weight"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     scored = out.mapInArrow(score, spark.createDataFrame([], f"{fields}, log_weight double").schema)

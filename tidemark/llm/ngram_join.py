@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, mix64, partitions_for, stage_table
+from .common import arrow_words, hash_words, mix64, partitions_for, pieces, stage_table
 from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, link_components, star_nodes
 
-CHUNK = 2 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: Bins of a set's sketch: what two sketches differ by, two sets differ by at least.
 BINS = 128
@@ -115,18 +114,6 @@ class Scheme:
         return text[used], key[used], role[used].astype(np.uint8)
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(offset, texts) of about CHUNK bytes each."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.cumsum(np.array([len(x) if x else 0 for x in column.cast(pa.large_binary()).to_pylist()], np.int64) + 64)
-    start = 0
-    while start < len(column):
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + CHUNK, side="right")))
-        yield start, column.slice(start, end - start)
-        start = end
-
-
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose whole sets reach the similarity. Both joins are on nodes and can be split where one is hot."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
