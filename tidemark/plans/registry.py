@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational
+
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {**relational.QUERIES}
+_ORACLES: dict[str, str] = {**relational.ORACLES}
 
 
 def queries() -> dict[str, Query]:
