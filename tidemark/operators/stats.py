@@ -100,7 +100,7 @@ def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
     """Two-sided Fisher exact p of rounded counts."""
 
     def one(a, b, c, d):
-        a, b, c, d = (round(v) for v in (a, b, c, d))
+        a, b, c, d = (math.floor(v + 0.5 + 1e-9) for v in (a, b, c, d))
         row, col, n = a + b, a + c, a + b + c + d
         choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
         logs = np.array([choose(row, k) + choose(n - row, col - k) - choose(n, col) for k in range(max(0, row + col - n), min(row, col) + 1)])

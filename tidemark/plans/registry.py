@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational
+from . import market_queries, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {**relational.QUERIES}
-_ORACLES: dict[str, str] = {**relational.ORACLES}
+_QUERIES: dict[str, Query] = {**relational.QUERIES, **market_queries.QUERIES}
+_ORACLES: dict[str, str] = {**relational.ORACLES, **market_queries.ORACLES}
 
 
 def queries() -> dict[str, Query]:
@@ -22,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Barrier states conditional on regime and hypothesis, estimated from raw events."""
+    return _QUERIES["c01_conditional_cpt"](spark, sf_dir)
