@@ -84,13 +84,16 @@ def bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pairs_across(members: pa.Table, allowed: Callable, block: int = 64) -> pa.Table:
-    """(a, b): pairs of a bucket's members in different components that sizes (n) and sketches (bins) allow.
+    """(a, b): pairs of a bucket's members in different components that sizes (n) and sketches (bins) allow. A pair that
+    shares several buckets (hs) comes from the one with the smallest number only.
 
     allowed(differ, n of the smaller, n of the larger) judges the L1 distance of the sketches and the sizes; arrays."""
     n = members.column("n").to_numpy()
     order = np.argsort(n, kind="stable")
     n, node, component = n[order], members.column("node").to_numpy()[order], members.column("component").to_numpy()[order]
-    bins = members.column("bins").to_pylist()
+    bins, h = members.column("bins").to_pylist(), members.column("h")[0].as_py() if len(n) else 0
+    shared = members.column("hs").to_pylist()
+    before = [{z for z in shared[i] if z < h} for i in order]
     sketch = np.frombuffer(b"".join(bins), np.uint8).reshape(len(n), -1)[order].astype(np.int16)
     out = []
     for start in range(0, len(n), block):
@@ -101,7 +104,9 @@ def pairs_across(members: pa.Table, allowed: Callable, block: int = 64) -> pa.Ta
         for part in range(0, len(x), 1 << 16):
             u, v = i[x[part : part + (1 << 16)]], j[y[part : part + (1 << 16)]]
             ok = allowed(np.abs(sketch[u] - sketch[v]).sum(axis=1, dtype=np.int64), n[u], n[v])
-            out.append(np.sort(np.stack((node[u[ok]], node[v[ok]])), axis=0))
+            first = np.array([before[p].isdisjoint(before[q]) for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True)], bool)
+            u, v = u[ok][first], v[ok][first]
+            out.append(np.sort(np.stack((node[u], node[v])), axis=0))
     a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -125,6 +130,8 @@ def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     members = own.select("h", F.col("c").alias("node")).unionByName(own.select("h", F.col("x").alias("node"))).distinct()
     members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    members = members.join(several, "h", "left_semi").join(nodes.select("node", "n", "bins"), "node")
+    members = members.join(several, "h", "left_semi")
+    buckets = members.groupBy("node").agg(F.collect_list("h").alias("hs"))
+    members = members.join(buckets, "node").join(nodes.select("node", "n", "bins"), "node")
     more = members.groupBy("h").applyInArrow(lambda t: pairs_across(t, allowed), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     return components(edges.unionByName(verify(stage_table(more, "pairs"))))

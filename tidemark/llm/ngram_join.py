@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket_stars, STARS).distinct(), "stars")
     nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
     nodes = stage_table(nodes, "nodes")
-    sets = source.join(nodes.select("_key", "node"), "_key").select("node", "_text").mapInArrow(shingles, "node long, items binary")
+    sets = source.join(nodes.select("_key", "node").hint("merge"), "_key").select("node", "_text").mapInArrow(shingles, "node long, items binary")
     sets = stage_table(sets.groupBy("node").agg(F.first("items").alias("items")), "shingles")
 
     def allowed(differ: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
