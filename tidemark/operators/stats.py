@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -95,7 +96,7 @@ def bootstrap_odds(t: DataFrame, key: str, draws: int = 2000, seed: int = 42) ->
     return t.select(F.col(key).cast("string").alias("k"), "a", "b", "c", "d").mapInPandas(run, "k string, boot_low double, boot_high double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of rounded counts."""
 
