@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market_queries, relational
+from . import flow_queries, market_queries, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {**relational.QUERIES, **market_queries.QUERIES}
-_ORACLES: dict[str, str] = {**relational.ORACLES, **market_queries.ORACLES}
+_QUERIES: dict[str, Query] = {**relational.QUERIES, **market_queries.QUERIES, **flow_queries.QUERIES}
+_ORACLES: dict[str, str] = {**relational.ORACLES, **market_queries.ORACLES, **flow_queries.ORACLES}
 
 
 def queries() -> dict[str, Query]:
