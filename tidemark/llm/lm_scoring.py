@@ -69,10 +69,6 @@ def word_chunks(words: pa.Array, size: int = WORDS_AT_ONCE) -> Iterator[tuple[sl
         yield slice(start, start + len(part)), Words(*string_buffers(part))
 
 
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -92,8 +88,7 @@ class Mixer:
             zeros, ones = _COUNTS[self.tables[k][0][at]], _COUNTS[self.tables[k][1][at]]
             if left_out:
                 ones, zeros = np.maximum(ones - bit, 0), np.maximum(zeros - (1 - bit), 0)
-            p = (ones + np.float32(0.3)) / (ones + zeros + np.float32(0.6))
-            s[:, k] = np.log(p / (1 - p))
+            s[:, k] = np.log(ones + np.float32(0.3)) - np.log(zeros + np.float32(0.3))
             seen.append(ones + zeros)
             sure = np.minimum(ones, zeros) == 0
         level = lambda n, most: np.minimum(np.log2(1 + n).astype(np.int64), most)
