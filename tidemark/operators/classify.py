@@ -100,3 +100,45 @@ def direction_label(outcome: Column, direction: Column) -> Column:
     """target_hit, stoploss_hit or timeout of an outcome such as up_strong for a long or short."""
     long_, up, down = direction == "long", outcome.startswith("up"), outcome.startswith("down")
     return F.when((long_ & up) | (~long_ & down), "target_hit").when((long_ & down) | (~long_ & up), "stoploss_hit").otherwise("timeout")
+
+
+def concordance_scenario(*signals: Column) -> Column:
+    """Eight scenarios from the signs of three or four timeframes. Without an opposing sign all but one agreeing is strong and
+    half of them moderate; with one, the larger side is weak and a draw conflicted."""
+    up = reduce(add, (F.coalesce(s > 0, F.lit(False)).cast("int") for s in signals))
+    down = reduce(add, (F.coalesce(s < 0, F.lit(False)).cast("int") for s in signals))
+    most, half = len(signals) - 1, len(signals) // 2
+    out = F.when((up > 0) & (up == down), "conflicted").when((down > 0) & (up > down), "weak_bullish").when((up > 0) & (down > up), "weak_bearish")
+    for side, name in ((up, "bullish"), (down, "bearish")):
+        out = out.when(side >= most, f"strong_{name}").when(side >= half, f"moderate_{name}")
+    return out.otherwise("neutral")
+
+
+#: Size multipliers by volatility.
+SIZE = {"low_vol": 1.2, "normal": 1.0, "high_vol": 0.5}
+
+
+def position_decision(momentum: Column, volatility: Column, exit_: Column, prediction: Column, exit_sure: Column | None = None, momentum_sure: Column | None = None, exit_least: float = 0.5, momentum_least: float = 0.5) -> dict[str, Column]:
+    """action, confidence and size: the first rule that applies. Confidences, where given, gate the two closing rules."""
+    size = mapped(volatility, SIZE, F.lit(1.0)).cast("double")
+    gate = lambda sure, least: F.lit(True) if sure is None else (sure.isNull() | (sure >= least))
+    rules = [
+        ((exit_ == "exit_now") & gate(exit_sure, exit_least), "CLOSE", 0.9, 1.0),
+        ((momentum == "bearish") & prediction.isin("stoploss_hit", "timeout") & gate(momentum_sure, momentum_least), "CLOSE", 0.8, 1.0),
+        ((prediction == "target_hit") & (momentum != "bearish"), "HOLD", 0.7, 1.0),
+        ((momentum == "bullish") & (exit_ == "extend"), "SCALE_IN", 0.6, 0.5),
+        ((momentum == "bearish") & (exit_ == "hold"), "SCALE_OUT", 0.6, 0.5),
+    ]
+    pick = lambda at, rest: reduce(lambda c, r: c.when(r[0], F.lit(r[at])), rules, F.when(F.lit(False), F.lit(rest))).otherwise(F.lit(rest))
+    return {"action": pick(1, "HOLD"), "confidence": pick(2, 0.5), "size": size * pick(3, 1.0)}
+
+
+def exit_label(pnl: Column, change: Column) -> Column:
+    """exit_now where a loss goes with falling momentum, extend where a gain goes with rising, else hold."""
+    return F.when((pnl == "losing") & (change == "bearish"), "exit_now").when((pnl == "winning") & (change == "bullish"), "extend").otherwise("hold")
+
+
+def confidence_label(outcome: Column, direction: Column) -> Column:
+    """high for a strong outcome in the position's direction, medium for a weak one, low otherwise."""
+    with_ = direction_label(outcome, direction) == "target_hit"
+    return F.when(with_ & outcome.endswith("strong"), "high").when(with_, "medium").otherwise("low")

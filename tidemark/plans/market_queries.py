@@ -576,3 +576,85 @@ def n04(spark, sf_dir):
     b = market.bars(spark, sf_dir).withColumn("m20", compile_formula("close.rolling(20).mean()"))
     b = b.withColumn("m20p", compile_formula("m20.shift(1)"))
     return b.select("asset", "h", compile_formula("close > m20 and close.shift(1) <= m20p").alias("cross_up"), compile_formula("close < close.shift(5) and atr > 1").alias("diverge"), compile_formula("abs(close - m20) <= 0.5 * atr").alias("zone"))
+
+
+def count_sql(test: str, *cols: str) -> str:
+    return " + ".join(f"CASE WHEN {c} {test} 0 THEN 1 ELSE 0 END" for c in cols)
+
+
+@query("k25_concordance_scenario", SIGNAL_SQL + f", n AS (SELECT asset, h, {count_sql('>', 'trend_slow', 'cross_sig', 'trend_fast', 'jump')} AS u, {count_sql('<', 'trend_slow', 'cross_sig', 'trend_fast', 'jump')} AS d FROM sig) SELECT asset, h, CASE WHEN u = 4 OR (u = 3 AND d = 0) THEN 'strong_bullish' WHEN d = 4 OR (d = 3 AND u = 0) THEN 'strong_bearish' WHEN u = 2 AND d = 0 THEN 'moderate_bullish' WHEN d = 2 AND u = 0 THEN 'moderate_bearish' WHEN u > d AND d > 0 THEN 'weak_bullish' WHEN d > u AND u > 0 THEN 'weak_bearish' WHEN u = d AND u > 0 THEN 'conflicted' ELSE 'neutral' END AS scenario FROM n")
+def k25(spark, sf_dir):
+    s = market.signals(spark, sf_dir)
+    return s.select("asset", "h", classify.concordance_scenario(s["trend_slow"], s["cross"], s["trend_fast"], s["jump"]).alias("scenario"))
+
+
+POSITION_SQL = ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[0] + "), q AS (SELECT asset, h, CASE WHEN ch" + ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[1] + """), pos AS (SELECT q.*, t.state, CASE WHEN pnl = 'losing' AND momentum = 'bearish' THEN 'exit_now' WHEN pnl = 'winning' AND momentum = 'bullish' THEN 'extend' ELSE 'hold' END AS exit_timing,
+CASE WHEN t.state = 'up_strong' THEN 'high' WHEN t.state = 'up_weak' THEN 'medium' ELSE 'low' END AS confidence FROM q JOIN trn t USING (asset, h))"""
+#: States of the position nodes.
+NODES = {
+    "delta": ["weakening", "stable", "strengthening"], "bucket": ["0-1h", "1-4h", "4-12h", "12h+"], "pnl": ["losing", "breakeven", "winning"], "momentum": ["bearish", "neutral", "bullish"],
+    "volatility": ["low_vol", "normal", "high_vol"], "exit_timing": ["exit_now", "hold", "extend"], "confidence": ["low", "medium", "high"], "long_label": ["target_hit", "stoploss_hit", "timeout"],
+}
+
+
+def positions(spark, sf_dir):
+    rows = k32(spark, sf_dir).join(training(spark, sf_dir).select("asset", "h", "state"), ["asset", "h"])
+    return rows.withColumns({"exit_timing": classify.exit_label(F.col("pnl"), F.col("momentum")), "confidence": classify.confidence_label(F.col("state"), F.lit("long"))})
+
+
+def grid_sql(parents: list[str], child: str) -> str:
+    values = lambda c: "(VALUES " + ", ".join(f"('{s}')" for s in NODES[c]) + f") v_{c}({c})"
+    keys, on = ", ".join(parents), " AND ".join(f"x.{p} = g.{p}" for p in parents)
+    return f"SELECT {', '.join('g.' + p for p in parents)}, g.{child}, round((coalesce(x.n, 0) + 1e0) / (coalesce(t.n, 0) + {len(NODES[child])}), 6) AS prob FROM (SELECT * FROM {' CROSS JOIN '.join(values(c) for c in [*parents, child])}) g LEFT JOIN (SELECT {keys}, {child}, count(*) AS n FROM pos GROUP BY ALL) x ON {on} AND x.{child} = g.{child} LEFT JOIN (SELECT {keys}, count(*) AS n FROM pos GROUP BY ALL) t ON {on.replace('x.', 't.')}"
+
+
+def position_cpt(parents: list[str], child: str):
+    def run(spark, sf_dir):
+        keys = cpt.grid(spark, **{p: NODES[p] for p in parents})
+        return rounded(cpt.conditional(positions(spark, sf_dir), parents, child, NODES[child], keys=keys).drop("weight_total"))
+
+    return run
+
+
+for _name, _parents, _child in (
+    ("c08_entry_confidence_cpt", ["delta", "pnl"], "confidence"), ("c10_position_confidence_cpt", ["delta", "momentum", "bucket"], "confidence"), ("c11_momentum_cpt", ["delta", "bucket"], "momentum"),
+    ("c12_volatility_cpt", ["delta", "bucket"], "volatility"), ("c13_exit_timing_cpt", ["delta", "bucket", "pnl"], "exit_timing"), ("c14_position_prediction_cpt", ["momentum", "volatility", "exit_timing"], "long_label"),
+):
+    query(_name, POSITION_SQL + " " + grid_sql(_parents, _child))(position_cpt(_parents, _child))
+
+
+@query("i08_position_decisions", POSITION_SQL + " SELECT asset, h, CASE WHEN exit_timing = 'exit_now' THEN 'CLOSE' WHEN momentum = 'bearish' AND long_label IN ('stoploss_hit', 'timeout') THEN 'CLOSE' WHEN long_label = 'target_hit' AND momentum <> 'bearish' THEN 'HOLD' WHEN momentum = 'bullish' AND exit_timing = 'extend' THEN 'SCALE_IN' WHEN momentum = 'bearish' AND exit_timing = 'hold' THEN 'SCALE_OUT' ELSE 'HOLD' END AS action, CASE volatility WHEN 'low_vol' THEN 1.2e0 WHEN 'high_vol' THEN 0.5e0 ELSE 1e0 END * CASE WHEN exit_timing <> 'exit_now' AND NOT (momentum = 'bearish' AND long_label IN ('stoploss_hit', 'timeout')) AND NOT (long_label = 'target_hit' AND momentum <> 'bearish') AND (momentum = 'bullish' AND exit_timing = 'extend' OR momentum = 'bearish' AND exit_timing = 'hold') THEN 0.5e0 ELSE 1e0 END AS size FROM pos")
+def i08(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    found = classify.position_decision(p["momentum"], p["volatility"], p["exit_timing"], p["long_label"])
+    return rounded(p.select("asset", "h", found["action"].alias("action"), found["size"].alias("size")))
+
+
+@query("c20_semantic_sanity", CPT_SQL + " SELECT hypothesis, CAST(count(*) AS BIGINT) AS n_keys, CAST(count(*) FILTER (CASE WHEN hypothesis LIKE '%long' THEN u + 0.01 >= d WHEN hypothesis LIKE '%short' THEN d + 0.01 >= u ELSE TRUE END) AS BIGINT) AS sane FROM (SELECT regime, hypothesis, sum(CASE WHEN state LIKE 'up%' THEN prob ELSE 0 END) AS u, sum(CASE WHEN state LIKE 'down%' THEN prob ELSE 0 END) AS d FROM c GROUP BY 1, 2) GROUP BY hypothesis")
+def c20(spark, sf_dir):
+    mass = lambda side: F.sum(F.when(F.col("state").startswith(side), F.col("prob")).otherwise(0.0))
+    k = prediction_cpt(training(spark, sf_dir)).groupBy("regime", "hypothesis").agg(mass("up").alias("u"), mass("down").alias("d"))
+    sane = F.when(F.col("hypothesis").endswith("long"), F.col("u") + 0.01 >= F.col("d")).when(F.col("hypothesis").endswith("short"), F.col("d") + 0.01 >= F.col("u")).otherwise(F.lit(True))
+    return k.groupBy("hypothesis").agg(F.count("*").alias("n_keys"), F.count_if(sane).alias("sane"))
+
+
+@query("c23_key_coverage", CPT_SQL + " , g AS (SELECT r.v AS regime, y.v AS hypothesis FROM (VALUES ('full_bullish'), ('bullish_transition'), ('macro_ranging'), ('bearish_transition'), ('full_bearish')) r(v) CROSS JOIN (VALUES ('strong_long'), ('weak_long'), ('no_setup'), ('weak_short'), ('strong_short')) y(v)) SELECT g.regime, g.hypothesis FROM g LEFT JOIN ks USING (regime, hypothesis) WHERE ks.regime IS NULL")
+def c23(spark, sf_dir):
+    keys = cpt.grid(spark, regime=sorted(set(classify.REDUCED.values())), hypothesis=HYPOTHESES)
+    return keys.join(training(spark, sf_dir).select("regime", "hypothesis").distinct(), ["regime", "hypothesis"], "left_anti")
+
+
+@query("m08_threshold_sensitivity", TRAIN_SQL + " SELECT k / 100e0 AS threshold, count(*) FILTER (abs(leading) >= k / 100e0) AS n, round(avg(CASE WHEN abs(leading) >= k / 100e0 THEN CASE WHEN state LIKE 'up%' THEN 1e0 ELSE 0 END END), 6) AS up_share FROM trn CROSS JOIN (SELECT unnest(range(5, 65, 10)) AS k) GROUP BY k")
+def m08(spark, sf_dir):
+    t = training(spark, sf_dir).groupBy("leading", F.col("state").startswith("up").cast("double").alias("y")).agg(F.count("*").alias("w"))
+    grid = spark.createDataFrame([(k / 100,) for k in range(5, 65, 10)], "threshold double")
+    hit = F.abs("leading") >= F.col("threshold")
+    g = t.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.sum(F.when(hit, F.col("w")).otherwise(0)).alias("n"), F.sum(F.when(hit, F.col("w") * F.col("y"))).alias("up"))
+    return rounded(g.select("threshold", "n", F.try_divide("up", F.col("n")).alias("up_share")))
+
+
+@query("g12_row_mode", SIGNAL_SQL + ", v AS (SELECT asset, h, x, count(*) AS c FROM (SELECT asset, h, unnest([trend_fast, jump, trend_slow, cross_sig]) AS x FROM sig) GROUP BY ALL) SELECT asset, h, CAST(arg_max(x, (c, -x)) AS INTEGER) AS mode FROM v GROUP BY asset, h")
+def g12(spark, sf_dir):
+    values = F.array("trend_fast", "jump", "trend_slow", "cross")
+    votes = F.transform(F.array(*map(F.lit, range(-2, 3))), lambda v: F.struct(F.size(F.filter("_v", lambda x: x == v)).alias("c"), (-v).alias("m")))
+    return market.signals(spark, sf_dir).withColumn("_v", values).select("asset", "h", (-F.array_max(votes)["m"]).alias("mode"))
