@@ -185,7 +185,7 @@ def training_tables(vocabulary: DataFrame, ends: int, bits: tuple[int, ...], spa
 
     spans = vocabulary.select("word", "c").mapInArrow(count, "k int, start int, at binary, zeros binary, ones binary").groupBy("k", "start").applyInArrow(add, "k int, start int, zeros binary, ones binary")
     tables = [np.zeros((2, 1 << b), np.uint8) for b in bits]
-    for row in spans.toLocalIterator():
+    for row in spans.collect():
         for v, name in enumerate(("zeros", "ones")):
             got = np.frombuffer(bytes(row[name]), np.uint8)
             tables[row["k"]][v][row["start"] : row["start"] + len(got)] = got
@@ -248,14 +248,20 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
             c = batch.column(1).to_numpy().astype(np.float64)
             for part, words in word_chunks(batch.column(0).cast(pa.large_string()), WORDS_A_STEP):
                 model.learn(words, c[part], pace, hits, mass)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (model.weights, mass, hits)], names=["weights", "mass", "hits"])
+        sums = (model.weights * mass[:, None], mass, hits)
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int % 32], pa.int32()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in sums)], names=["g", "weights", "mass", "hits"])
 
-    # One row a task; tasks are bounded by the vocabulary's partitions and are folded as they come.
+    def fold(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        sums = [sum((np.frombuffer(r[f]) for r in rows), np.float64(0)) for f in ("weights", "mass", "hits")]
+        return pa.table({"g": pa.array([rows[0]["g"]], pa.int32())} | {f: pa.array([x.tobytes()], pa.binary()) for f, x in zip(("weights", "mass", "hits"), sums, strict=True)})
+
+    # One row a task, folded into at most 32 before they reach the driver.
+    kinds = "g int, weights binary, mass binary, hits binary"
     weights, mass, hits = np.zeros((GATES, len(bits))), np.zeros(GATES), np.zeros((2, GATES, STEPS))
-    for row in vocabulary.mapInArrow(learn, "weights binary, mass binary, hits binary").toLocalIterator():
-        m = np.frombuffer(bytes(row["mass"]))
-        weights += np.frombuffer(bytes(row["weights"])).reshape(weights.shape) * m[:, None]
-        mass += m
+    for row in vocabulary.mapInArrow(learn, kinds).groupBy("g").applyInArrow(fold, kinds).collect():
+        weights += np.frombuffer(bytes(row["weights"])).reshape(weights.shape)
+        mass += np.frombuffer(bytes(row["mass"]))
         hits += np.frombuffer(bytes(row["hits"])).reshape(hits.shape)
     weights = np.where(mass[:, None] > 0, weights / np.maximum(mass, 1)[:, None], 0.35)
     refined = refinement(hits)
