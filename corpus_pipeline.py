@@ -16,7 +16,8 @@ from tidemark.llm.quality_rules import quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Also without what stands as far from its language's common words as a text that has none of them (0.9 of that distance)."""
+    return quality_rules(docs, max_word_share=0.9).where("kept").select(*docs.columns)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,17 +72,21 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     return stage_table(out, "references")
 
 
-def quality_rules(docs: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang", window: int = 5, guard_words: int = 60, max_class_distance: float = 0.30, max_word_distance: float = 0.65, max_reference_rows: int = 10_000, **reference_options) -> DataFrame:
+def quality_rules(docs: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang", window: int = 5, guard_words: int = 60, max_class_distance: float = 0.30, max_word_distance: float = 0.65, max_word_share: float | None = None, max_reference_rows: int = 10_000, **reference_options) -> DataFrame:
     """docs with RULE_COLUMNS (in place of columns so named).
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated windows. kept: not base_failed and, where the
     document has guard_words words or more, both Jensen-Shannon distances to its language's reference within bounds; shorter
-    ones are too few words for a histogram and pass that rule. Null text has no words; a language without reference passes.
+    ones are too few words for a histogram and pass that rule. max_word_share, where given, bounds the word distance by that
+    share of what a text without any common word has in its language, besides max_word_distance. Null text has no words; a language without reference passes.
     At most max_reference_rows references are broadcast, more are joined. No row is dropped, repeated or moved between tasks.
     """
     spark = docs.sparkSession
     docs = docs.select(*(c for c in docs.columns if c not in RULE_COLUMNS))
     refs = references if references is not None else language_references(docs, text, lang, **reference_options)
+    if max_word_share is not None:
+        absent = F.transform("_word_ref", lambda q, i: F.when(i == F.size("_word_ref") - 1, 1.0).otherwise(0.0))
+        refs = refs.withColumn("_word_bound", max_word_share * js_distance(absent, F.col("_word_ref")))
     refs = F.broadcast(refs) if len(refs.limit(max_reference_rows + 1).take(max_reference_rows + 1)) <= max_reference_rows else refs
     own = list(docs.columns)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -105,7 +109,10 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text: st
         "class_distance": F.round(F.coalesce(js_distance(shares(F.col("_classes")), F.col("_class_ref")), F.lit(0.0)), 6),
         "word_distance": F.round(F.coalesce(js_distance(shares(counts), F.col("_word_ref")), F.lit(0.0)), 6),
     })
-    odd = (F.col("n_words") >= guard_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))
+    far = F.col("word_distance") > max_word_distance
+    if max_word_share is not None:
+        far = far | F.coalesce(F.col("word_distance") > F.col("_word_bound"), F.lit(False))
+    odd = (F.col("n_words") >= guard_words) & ((F.col("class_distance") > max_class_distance) | far)
     # Not deterministic in the optimizer's eyes, so a filter on the verdict stays above the projections instead of being
     # merged with them, where every array would be computed anew for each of its elements.
     always = F.monotonically_increasing_id() >= 0
