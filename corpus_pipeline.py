@@ -27,11 +27,19 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8), once."""
-    groups = near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8), once.
+
+    A row is known by its id and text, so rows that share an id or have none (the largest) stay unless a group joins them;
+    rows without words are in no group and all stay."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    groups = near_duplicates(docs.select(row.alias("_row"), "text"), key="_row", size=5, percent=80).distinct()
+    ids = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id")).distinct()
+    order = F.struct(F.col("_id").isNull(), "_id", "_row")
+    first = groups.where("n_shingles > 0").join(ids, "_row").groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row")
+    known = docs.withColumn("_row", row)
+    kept = known.join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return kept.unionByName(known.where(wordless)).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,14 @@ def test_quality_stage_rejects_texts_without_common_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()}
     assert kept == set(range(60))
+
+
+def test_one_of_each_keeps_rows_of_null_and_repeated_ids(spark):
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, e), (9, e), (None, e), (None, ""), (None, None), (5, " "), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    want = [(None, a), (None, b), (7, c), (7, d), (3, e), (None, ""), (None, None), (5, " "), (5, " ")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
