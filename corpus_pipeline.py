@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each class of repeated lines keeps its first; a document that loses all its words goes, one that had none stays."""
-    out = dedup_lines(docs.select(*docs.columns))
+    out = dedup_lines(docs.select(*docs.columns), min_equal=1)
     return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*docs.columns)
 
 

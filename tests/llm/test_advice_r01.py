@@ -7,6 +7,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline
+from tidemark.llm import line_dedup, queries
 
 
 def test_quality_stage_rejects_texts_without_common_words(spark):
@@ -27,3 +28,13 @@ def test_one_of_each_keeps_rows_of_null_and_repeated_ids(spark):
     got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
     want = [(None, a), (None, b), (7, c), (7, d), (3, e), (None, ""), (None, None), (5, " "), (5, " ")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_short_equal_lines_go(spark, tmp_path):
+    long_one = "a line of more than twenty-four code points"
+    rows = [(1, "All rights reserved.\nx\n \nab"), (2, f"{long_one}\nAll rights reserved.\n\nab"), (3, f"{long_one}!\nAll rights reserved!\n \n\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup_lines(docs, min_equal=1).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"{long_one}\n", 2), 3: ("All rights reserved!\n \n", 2)}
+    assert {r.doc_id: r.n_removed_lines for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 2}

@@ -116,11 +116,12 @@ def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return ok
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_edits: int = 2, min_chars: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None) -> DataFrame:
     """docs with repeated lines taken out of the text, and n_lines, n_removed_lines in place of columns so named.
 
     Lines of min_chars code points or more link when they are equal or within max_edits edits; of a class of linked lines the
-    one with the smallest (key, line number) stays and the others go, in whatever document. Shorter and blank lines stay.
+    one with the smallest (key, line number) stays and the others go, in whatever document. Shorter lines of min_equal code
+    points or more (none where it is null) link when they are equal; yet shorter and blank lines stay.
     Null texts stay null with no lines; the empty text is one line. Repeated rows share key and line numbers, so they
     do not remove each other's lines; a null key is the largest. Keys are integers. Other columns are left as they are.
     """
@@ -130,10 +131,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = partitions_for(spark, total, 16 << 20)
     parts = 4 * n
+    least = min_chars if min_equal is None else min(min_equal, min_chars)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, starts, size, of, number in line_chunks(batch.column(1).to_pylist(), min_chars):
+            for data, starts, size, of, number in line_chunks(batch.column(1).to_pylist(), least):
                 _, node = line_nodes(data, starts, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array(number, pa.int32()), pa.array(node)], names=["_key", "_tag", "line", "node"])
 

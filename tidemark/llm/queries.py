@@ -93,7 +93,7 @@ SELECT doc_id, n::BIGINT n_words, length(s)::BIGINT word_chars, length(regexp_re
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_equal=1)
     return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
