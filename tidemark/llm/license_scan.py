@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, stage_table
+from .common import arrow_words, hash_words, pieces, stage_table
 
 #: Licence ids and the phrases by which files declare them.
 TEMPLATES = (
@@ -29,6 +29,15 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 PUNCTUATION = ".,;:!?()[]{}<>\"'*#/\\|-"
@@ -56,6 +65,9 @@ class Templates:
         self.other_idf = np.log(1 + n) + 1  # a term of no template weighs as one that the corpus lacks
         weight = tf * self.idf
         self.weight = weight / np.linalg.norm(weight, axis=1, keepdims=True)
+        self.lengths = tf.sum(axis=1).astype(np.int64)
+        shared = np.array([[any(tf[j, i] for j in range(len(tf)) if self.names[j] != name) for i in range(len(self.terms))] for name in self.names])
+        self.named = np.where(shared, 0, self.weight**2)  # of terms that no other licence's template has
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each term, -1 for those of no template."""
@@ -80,8 +92,42 @@ def blocks_of(texts: pa.Array, block_words: int):
     return block, ids, hashes, line_text[block_line], block_line, flat
 
 
+def window_matches(known: Templates, ids: np.ndarray, hashes: np.ndarray, text: np.ndarray, min_score: float, at_once: int = 2000):
+    """(first token, tokens, template, cosine) of all windows of a template's length, across line ends, that reach min_score.
+
+    Tokens that are punctuation only count in no window. A window holds half, by weight, of the terms that tell its
+    template's licence from others. Sums over windows bound the cosine; only windows within the bound are computed."""
+    token = np.flatnonzero(hashes[ids] != hash_words(pa.array([""], pa.large_string()))[0])
+    term_of, same = known.find(hashes), np.unique(hashes, return_inverse=True)[1]
+    term, word = term_of[ids[token]], same[ids[token]]
+    idf = np.where(term >= 0, known.idf[term], known.other_idf)
+    squares = np.concatenate(([0.0], np.cumsum(idf * idf)))
+    n = np.bincount(text[token], minlength=1)
+    last = np.repeat(np.cumsum(n), n)
+    places = np.arange(len(token))
+    out = []
+    for t, v in enumerate(known.weight):
+        own = np.where(term >= 0, idf * v[term], 0)
+        sums = np.concatenate(([0.0], np.cumsum(own)))
+        end = np.minimum(places + known.lengths[t], last)
+        near = np.flatnonzero((own > 0) & (sums[end] - sums[:-1] >= (min_score - 1e-6) * np.sqrt(squares[end] - squares[:-1])))
+        for start in np.split(near, range(at_once, len(near), at_once)):
+            at = start[:, None] + np.arange(known.lengths[t])
+            inside = at < end[start][:, None]
+            at = np.minimum(at, len(token) - 1)
+            w, x = np.where(inside, idf[at], 0), word[at]
+            norm = np.sqrt(np.einsum("ri,rij,rj->r", w, x[:, :, None] == x[:, None, :], w))
+            score = np.round(np.where(inside, own[at], 0).sum(axis=1) / np.maximum(norm, 1e-300), 9)
+            held = np.zeros((len(start), len(v) + 1), bool)
+            np.put_along_axis(held, np.where(inside, term[at], -1) % (len(v) + 1), True, axis=1)
+            good = (score >= min_score) & (2 * (held[:, :-1] @ known.named[t]) >= known.named[t].sum())
+            begin = start[good]
+            out.append((token[begin], token[end[begin] - 1] + 1 - token[begin], np.full(len(begin), t), score[good]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def license_matches(files: DataFrame, path: str, text: str, templates, min_score: float, block_words: int) -> DataFrame:
-    """(path, _license, _score, _block) of the best block of each row with a cosine of min_score or more; block counts and
+    """(path, _license, _score, _block) of the best block or window of each row with a cosine of min_score or more (_block: the line it begins in); block counts and
     document frequencies of the template terms cover every block of every row."""
     spark = files.sparkSession
     bare = Templates(templates)
@@ -102,30 +148,37 @@ def license_matches(files: DataFrame, path: str, text: str, templates, min_score
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, ids, hashes, block_text, block_line, lines = blocks_of(batch.column(1), block_words)
-            rows = np.zeros(0, np.int64)
-            if len(ids):
-                term = known.find(hashes)[ids]
-                seen = np.zeros(len(block_text), bool)
-                seen[block[term >= 0]] = True
-                use = seen[block]
-                pair, tf = np.unique(block[use] * np.int64(len(hashes) + 1) + ids[use], return_counts=True)
-                b, word = pair // (len(hashes) + 1), pair % (len(hashes) + 1)
-                t = known.find(hashes)[word]
-                w = tf * np.where(t >= 0, known.idf[t], known.other_idf)
-                norm = np.sqrt(np.bincount(b, weights=w * w, minlength=len(block_text)))
-                near = np.sqrt(np.bincount(b, weights=np.where(t >= 0, w * w, 0), minlength=len(block_text))) >= min_score * norm  # cosine is at most that share
-                b, t, w = (x[near[b] & (t >= 0)] for x in (b, t, w))
-                cosine = np.stack([np.bincount(b, weights=w * v[t], minlength=len(block_text)) for v in known.weight]) / np.maximum(norm, 1e-300)
-                best, score = cosine.argmax(axis=0), np.round(cosine.max(axis=0), 9)
-                good = np.flatnonzero(score >= min_score)
-                order = good[np.lexsort((good, -score[good], block_text[good]))]
-                rows = order[np.concatenate(([True], np.diff(block_text[order]) != 0))] if len(order) else rows
-            names = [known.names[best[i]] for i in rows] if len(rows) else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(block_text[rows] if len(rows) else [], pa.int64())), pa.array(names, pa.string()), pa.array(score[rows] if len(rows) else [], pa.float64()), (lines.take(pa.array(block_line[rows])) if len(rows) else pa.array([], pa.large_string())).cast(pa.string())],
-                names=[path, "_license", "_score", "_block"],
-            )
+            for at, texts in pieces(batch.column(1)):
+                block, ids, hashes, block_text, block_line, lines = blocks_of(texts, block_words)
+                rows = np.zeros(0, np.int64)
+                if len(ids):
+                    term = known.find(hashes)[ids]
+                    seen = np.zeros(len(block_text), bool)
+                    seen[block[term >= 0]] = True
+                    use = seen[block]
+                    pair, tf = np.unique(block[use] * np.int64(len(hashes) + 1) + ids[use], return_counts=True)
+                    b, word = pair // (len(hashes) + 1), pair % (len(hashes) + 1)
+                    t = known.find(hashes)[word]
+                    w = tf * np.where(t >= 0, known.idf[t], known.other_idf)
+                    norm = np.sqrt(np.bincount(b, weights=w * w, minlength=len(block_text)))
+                    near = np.sqrt(np.bincount(b, weights=np.where(t >= 0, w * w, 0), minlength=len(block_text))) >= min_score * norm  # cosine is at most that share
+                    b, t, w = (x[near[b] & (t >= 0)] for x in (b, t, w))
+                    cosine = np.stack([np.bincount(b, weights=w * v[t], minlength=len(block_text)) for v in known.weight]) / np.maximum(norm, 1e-300)
+                    best, score = cosine.argmax(axis=0), np.round(cosine.max(axis=0), 9)
+                    good = np.flatnonzero(score >= min_score)
+                    first = np.searchsorted(block, good)
+                    wide = window_matches(known, ids, hashes, block_text[block], min_score)
+                    found = [np.concatenate(x) for x in zip((first, np.searchsorted(block, good, side="right") - first, best[good], score[good]), wide, strict=True)]
+                    begin, size, best, score = found
+                    of = block[begin]
+                    order = np.lexsort((best, -size, begin, -score, block_text[of]))
+                    rows = order[np.concatenate(([True], np.diff(block_text[of[order]]) != 0))] if len(order) else rows
+                held = of[rows] if len(rows) else np.zeros(0, np.int64)
+                names = [known.names[best[i]] for i in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(block_text[held] + at, pa.int64())), pa.array(names, pa.string()), pa.array(score[rows] if len(rows) else [], pa.float64()), lines.take(pa.array(block_line[held], pa.int64())).cast(pa.string())],
+                    names=[path, "_license", "_score", "_block"],
+                )
 
     kind = files.schema[path].dataType.simpleString()
     return files.select(path, text).mapInArrow(match, f"`{path}` {kind}, {MATCH}")
@@ -134,7 +187,7 @@ def license_matches(files: DataFrame, path: str, text: str, templates, min_score
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", license_file: str = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$", templates=TEMPLATES, min_score: float = 0.75, block_words: int = 200) -> DataFrame:
     """files with license, license_score, license_origin (`own`, `inherited`, `none`) and license_from in place of columns so named.
 
-    own: the best block of the file reaches min_score (ties: the first block, the first template). A file whose path
+    own: the best block or window of the file reaches min_score (ties: the one that begins first, the longest, the first template). A file whose path
     matches license_file speaks for its directory; of several in one, the best score, then the smallest path. Other files
     take the licence of the nearest directory above them that has one, the path's root '' included. Null or empty texts
     match nothing; a null path has no directory; rows that share a path share the best match. Whole texts are read.
