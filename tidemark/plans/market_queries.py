@@ -52,7 +52,12 @@ def labels(spark: SparkSession, sf_dir: str, window: int = SHORT) -> DataFrame:
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with scores, states, regime and hypothesis."""
     lab = labels(spark, sf_dir).select("asset", "h", "barrier", "hit", barrier.barrier_state(F.col("barrier"), F.col("hit"), SHORT).alias("state"))
-    c = composites(spark, sf_dir).join(lab, ["asset", "h"])
+    return evidence(spark, sf_dir).join(lab, ["asset", "h"])
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """composites() with their states, regime and hypothesis, labelled or not."""
+    c = composites(spark, sf_dir)
     c = c.withColumns({s + "_state": classify.five_states(F.col(s)) for s in ("leading", "coincident", "confirming")})
     return c.withColumns({"regime": classify.reduced_regime(classify.regime(F.col("trend_slow"), F.col("trend_fast"))), "hypothesis": classify.hypothesis(F.col("leading_state"))})
 
@@ -436,6 +441,40 @@ def m01(spark, sf_dir):
     return rounded(mi.join(neutral, ["nb", "st"]))
 
 
+SIDE_GRID = [(nb / 100, st / 100) for st in (15, 20, 25, 30, 35, 40, 45, 50, 60) for nb in (5, 8, 10, 12, 15, 18, 20, 25) if nb < st]
+GRID_KEYS = ["bull_st", "bull_nb", "bear_st", "bear_nb"]
+SEARCH_SQL = TRAIN_SQL + """,
+s AS (SELECT "leading" AS x, state, count(*) AS w FROM trn GROUP BY 1, 2),
+side AS (SELECT nb / 100e0 AS nb, st / 100e0 AS st FROM (SELECT unnest([5, 8, 10, 12, 15, 18, 20, 25]) AS nb) CROSS JOIN (SELECT unnest([15, 20, 25, 30, 35, 40, 45, 50, 60]) AS st) WHERE nb < st),
+gr AS (SELECT a.nb AS bull_nb, a.st AS bull_st, b.nb AS bear_nb, b.st AS bear_st FROM side a CROSS JOIN side b),
+cells AS (SELECT bull_st, bull_nb, bear_st, bear_nb, CASE WHEN x >= bull_st THEN 2 WHEN x >= bull_nb THEN 1 WHEN x <= -bear_st THEN -2 WHEN x <= -bear_nb THEN -1 ELSE 0 END AS c, state, sum(w) AS w FROM gr CROSS JOIN s GROUP BY 1, 2, 3, 4, 5, 6),
+mg AS (SELECT *, sum(w) OVER (PARTITION BY bull_st, bull_nb, bear_st, bear_nb) AS n, sum(w) OVER (PARTITION BY bull_st, bull_nb, bear_st, bear_nb, c) AS wx, sum(w) OVER (PARTITION BY bull_st, bull_nb, bear_st, bear_nb, state) AS wy FROM cells),
+mi AS (SELECT bull_st, bull_nb, bear_st, bear_nb, greatest(sum(w / n * ln(w * n / (wx * wy))), 0) AS mi, sum(CASE WHEN c = 0 THEN w ELSE 0 END) / max(n) AS neutral, sum(CASE WHEN c > 0 THEN w ELSE 0 END) / max(n) AS bull, sum(CASE WHEN c < 0 THEN w ELSE 0 END) / max(n) AS bear, count(DISTINCT CASE WHEN wx / n > 0.05 THEN c END) AS active FROM mg GROUP BY 1, 2, 3, 4),
+ok AS (SELECT *, active >= 3 AND neutral >= 0.1 AND neutral <= 0.6 AND bull >= 0.05 AND bear >= 0.05 AS valid FROM mi)"""
+
+
+@query("m01_asymmetric_search", SEARCH_SQL + " SELECT bull_st, bull_nb, bear_st, bear_nb, round(mi, 6) AS mi, round(neutral, 6) AS neutral_share, valid, row_number() OVER (ORDER BY valid DESC, round(mi, 9) DESC, bull_st, bull_nb, bear_st, bear_nb) = 1 AS best FROM ok")
+def m01_search(spark, sf_dir):
+    """Band and threshold of either side vary alone; best: the first in grid order of the most informative valid rows, of all
+    rows where none is valid. Scores collapse to the steps between thresholds before they meet the grid."""
+    edges = sorted({v for pair in SIDE_GRID for v in pair})
+    steps = lambda x: sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    up = steps(F.col("leading")) - steps(-F.col("leading"))
+    cells = training(spark, sf_dir).groupBy(up.alias("x"), "state").agg(F.count("*").alias("w"))
+    at = {e: i + 1 for i, e in enumerate(edges)}
+    grid = spark.createDataFrame([(s, n, t, m, at[s], at[n], at[t], at[m]) for n, s in SIDE_GRID for m, t in SIDE_GRID], ", ".join(f"{k} double" for k in GRID_KEYS) + ", s int, n int, t int, m int")
+    code = F.when(F.col("x") >= F.col("s"), 2).when(F.col("x") >= F.col("n"), 1).when(F.col("x") <= -F.col("t"), -2).when(F.col("x") <= -F.col("m"), -1).otherwise(0)
+    rows = cells.crossJoin(F.broadcast(grid)).withColumn("c", code)
+    mi = stats.mutual_information(rows, "c", "state", F.col("w"), GRID_KEYS)
+    part = {c: F.sum(F.when(F.col("c") == c, F.col("w")).otherwise(0)) / F.sum("w") for c in (-2, -1, 0, 1, 2)}
+    share = rows.groupBy(*GRID_KEYS).agg(*(v.alias(f"c{c}") for c, v in part.items()), *((F.sum(F.when(test, F.col("w")).otherwise(0)) / F.sum("w")).alias(k) for k, test in (("bull", F.col("c") > 0), ("bear", F.col("c") < 0))))
+    active = sum((F.when(F.col(f"c{c}") > 0.05, 1).otherwise(0) for c in part), F.lit(0))
+    valid = (active >= 3) & F.col("c0").between(0.1, 0.6) & (F.col("bull") >= 0.05) & (F.col("bear") >= 0.05)
+    all_rows = mi.join(share, GRID_KEYS).withColumn("valid", valid)
+    first = F.row_number().over(Window.orderBy(F.desc("valid"), F.desc(F.round("mi", 9)), *GRID_KEYS))
+    return rounded(all_rows.select(*GRID_KEYS, "mi", F.col("c0").alias("neutral_share"), "valid", (first == 1).alias("best")))
+
+
 @query("m04_decision_tree")
 def m04(spark, sf_dir):
     from pyspark.ml.classification import DecisionTreeClassifier
