@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import cpt
 from tidemark.sources import io, market
 from tidemark.streaming import live
 
-from .market_queries import MIDPOINTS, STATES, prediction_cpt, training
+from .market_queries import MIDPOINTS, STATES, evidence, prediction_cpt, training
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,7 +79,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return live.payload_stream(spark, f"{base}/in", 2), base
 
 
-def z02_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each micro-batch is coalesced to the newest payload of each asset and merged into the current snapshot."""
     stream, base = _stream(spark, sf_dir)
     versions: list[str] = []
@@ -89,7 +90,11 @@ def z02_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         versions.append(f"{base}/current-{number}")
 
     live.run_available(stream, each, "", f"{base}/check")
-    return spark.read.parquet(versions[-1]).select("asset", F.round("value", 6).alias("value"))
+    return spark.read.parquet(versions[-1])
+
+
+def z02_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_payloads(spark, sf_dir).select("asset", F.round("value", 6).alias("value"))
 
 
 def z09_watermarked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +114,15 @@ def z10_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def z04_stream_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream-static join: newest payloads meet the conditional table of the most common regime and hypothesis."""
+    """Stream-static join: the newest payload of each asset meets the asset's own regime and hypothesis of the payload's hour, or
+    of the last hour before it that has them, and these the conditional table, its prior by default."""
     t = training(spark, sf_dir)
-    key = t.groupBy("regime", "hypothesis").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "regime", "hypothesis").limit(1)
-    table = prediction_cpt(t).join(F.broadcast(key), ["regime", "hypothesis"], "left_semi").groupBy().pivot("state", STATES).agg(F.first("prob"))
-    expected = sum((F.col(s) * m for s, m in MIDPOINTS.items()), F.lit(0.0))
-    return z02_latest_snapshot(spark, sf_dir).crossJoin(F.broadcast(table)).select("asset", F.round(expected, 6).alias("expected_atr"))
+    known = evidence(spark, sf_dir).select("asset", "h", "regime", "hypothesis")
+    newest = latest_payloads(spark, sf_dir).select("asset", "value", F.floor(F.unix_timestamp("ts") / 3600).alias("_now"))
+    own = newest.join(known, "asset", "left").where("h is null or h <= _now").groupBy("asset").agg(F.max_by(F.struct("regime", "hypothesis"), "h").alias("_own"))
+    rows = newest.join(own, "asset", "left").select("asset", "_own.*")
+    found = cpt.lookup(rows, prediction_cpt(t), ["regime", "hypothesis"], "state", STATES, cpt.prior(t, "state", STATES))
+    return found.select("asset", F.round(cpt.expected_atr(MIDPOINTS), 6).alias("expected_atr"))
 
 
 QUERIES = {f.__name__: f for f in (a03_upsert, a05_backfill, a19_json_round_trip, a20_csv_round_trip, a22_log_lines, a27_retained_runs, a28_stage_gate, a30_synthetic, z02_latest_snapshot, z04_stream_inference, z09_watermarked_bars, z10_completeness)}
