@@ -61,3 +61,10 @@ def test_license_windows(spark):
     got = {r.path: r.license for r in license_scan.scan_licenses(spark.createDataFrame(files, "path string, text string"), license_file="^$").collect()}
     assert {path: got[path] for path in LICENSED} == {path: name for path, (_, name) in LICENSED.items()}
     assert all(got[f"n{i}.py"] is None for i in range(30))
+
+
+def test_ngram_join_links_through_rows_without_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:40])), (None, " ".join(w[3:43])), (None, " ".join(w[3:43])), (2, " ".join(w[6:46])), (None, "alone " * 3)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got if r.n_shingles > 1) == [("1", 1), ("2", 1), ("None", 1), ("None", 1)]

@@ -145,6 +145,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
+    # A row without a key is found again by its text.
+    source = source.withColumns({"_null": F.col("_key").isNull(), "_at": F.coalesce("_key", F.xxhash64("_text"))})
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = partitions_for(spark, total, 16 << 20)
     parts = 4 * n
@@ -157,7 +159,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 bins = np.bincount(owner * BINS + (shingle % np.uint64(BINS)).astype(np.int64), minlength=len(texts) * BINS)
                 bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
                 bins = pa.array([x.tobytes() for x in bins], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), bins], names=["_key", "n_shingles", "node", "bins"])
+                own = [batch.column(i).slice(start, len(texts)) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), bins], names=["_key", "_null", "_at", "n_shingles", "node", "bins"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), np.zeros(0, np.int64)
@@ -186,11 +189,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 good = np.flatnonzero(node == want)
                 yield pa.RecordBatch.from_arrays([pa.array(node[good], pa.int64()), pa.array([shingle[ends[i] : ends[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "items"])
 
-    rows = stage_table(source.mapInArrow(describe, "_key long, n_shingles long, node long, bins binary"), "sets")
+    rows = stage_table(source.mapInArrow(describe, "_key long, _null boolean, _at long, n_shingles long, node long, bins binary"), "sets")
     stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket_stars, STARS).distinct(), "stars")
-    nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
-    nodes = stage_table(nodes, "nodes")
-    sets = source.join(nodes.select("_key", "node").hint("merge"), "_key").select("node", "_text").mapInArrow(shingles, "node long, items binary")
+    nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node").agg(F.min(F.struct("_null", "_at")).alias("_place"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
+    nodes = stage_table(nodes.select("node", "_place.*", "bins", "n"), "nodes")
+    sets = source.join(nodes.select("_null", "_at", "node").hint("merge"), ["_null", "_at"]).select("node", "_text").mapInArrow(shingles, "node long, items binary")
     sets = stage_table(sets.groupBy("node").agg(F.first("items").alias("items")), "shingles")
 
     def allowed(differ: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ def mutual_information(rows: DataFrame, x: str, y: str, weight: Column, by: list
     return cells.groupBy(*by).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
-def bootstrap_odds(t: DataFrame, key: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+def bootstrap_odds(t: DataFrame, key: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """(key, boot_low, boot_high): percentile interval of the odds ratio. Resampling n rows of a table is one multinomial draw, so no row is repeated; the generator is seeded by the key."""
     import zlib
 
