@@ -245,12 +245,74 @@ def test_lm_scores(spark):
 
 def test_lm_is_a_distribution():
     """The probabilities of all continuations of a byte sum to one."""
-    bits = (12,) * 5
-    model = lm_scoring.Mixer(bits, [np.random.default_rng(k).integers(0, 9, (2, 4096)).astype(np.uint8) for k in range(5)])
-    data = np.array([(98, b) for b in range(256)], np.uint8).reshape(-1)
-    words = lm_scoring.Words(data, np.arange(0, 513, 2), end=True)
-    first = lm_scoring.Words(np.array([98], np.uint8), np.array([0, 1]), end=True)
-    assert (10 ** (model.log10(words) - model.log10(first)[0])).sum() == pytest.approx(1, abs=1e-5)
+    rng = np.random.default_rng(0)
+    mixer = lm_scoring.Mixer([rng.integers(0, 9, (2, 1 << b)).astype(np.float32) for b in lm_scoring.BYTE_BITS], lm_scoring.BYTE_GATES)
+    words = lm_scoring.Words(np.array([(98, b) for b in range(256)], np.uint8).reshape(-1), np.full(256, 2))
+    total = np.zeros((256, 3))
+    for value, slots, bit in words.decisions():
+        total += mixer.log10(value, slots, lm_scoring.byte_gate(mixer.tables, slots, bit)).reshape(256, 3)
+    assert (10 ** total[:, 1]).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_lm_mixing_against_plain_loop():
+    """Inputs, mix, refinement and one online step, decision by decision."""
+    rng = np.random.default_rng(1)
+    tables = [rng.integers(0, 20, (2, 8)).astype(np.float32) for _ in range(3)]
+    value, gate, slots = rng.integers(0, 2, 40), rng.integers(0, 4, 40), [rng.integers(0, 8, 40) for _ in tables]
+    mixer = lm_scoring.Mixer(tables, 4)
+    weights, refined, hits = mixer.weights.copy(), mixer.refined.copy(), mixer.hits.copy()
+    squash = lambda x: 1 / (1 + math.exp(-x))
+
+    def mix(j, leave):
+        s = []
+        for t, at in zip(tables, slots, strict=True):
+            zeros, ones = float(t[0][at[j]]), float(t[1][at[j]])
+            if leave:
+                zeros, ones = max(zeros - (1 - value[j]), 0), max(ones - value[j], 0)
+            s.append(math.log((ones + 0.3) / (zeros + 0.3)))
+        return s, min(12, max(-12, sum(a * w for a, w in zip(s, weights[gate[j]], strict=True))))
+
+    for j, got in enumerate(mixer.log10(value, slots, gate)):
+        _, x = mix(j, False)
+        place = (x + 12) * 32 / 24
+        low = min(int(place), 31)
+        p = (squash(x) + refined[gate[j]][low] * (1 - place + low) + refined[gate[j]][low + 1] * (place - low)) / 2
+        assert got == pytest.approx(math.log10(p if value[j] else 1 - p))
+    mixer.learn(value, slots, gate)
+    for g in range(4):
+        own = [(j, *mix(j, True)) for j in range(40) if gate[j] == g]
+        for k in range(3):
+            step = sum((value[j] - squash(x)) * s[k] for j, s, x in own) / len(own)
+            assert mixer.weights[g, k] == pytest.approx(weights[g, k] + 0.1 * step / math.sqrt(step * step + 1e-6))
+        for cell in range(33):
+            bits = [value[j] for j, _, x in own if round((x + 12) * 32 / 24) == cell]
+            want = refined[g, cell] + (sum(bits) - len(bits) * refined[g, cell]) / (hits[g, cell] + len(bits))
+            assert mixer.refined[g, cell] == pytest.approx(want)
+    again = lm_scoring.Mixer(tables, 4, mixer.pack() * 2)
+    assert np.allclose(again.weights, mixer.weights) and np.allclose(again.refined, mixer.refined)
+
+
+def test_lm_word_decisions():
+    """Paths of tokens from counts of sequences, with and without the token's own occurrence."""
+    seen = np.array([2 | 2 << 2 | 2 << 4, 1 | 1 << 2 | 2 << 4, 1 << 4, 0], np.uint8)
+    after = np.array([5, 1, 0, 0])
+    for leave, want, asked in ((False, [0, 0, 2, 3], {0: [1], 1: [1], 2: [1], 3: [0]}), (True, [0, 2, 3, 3], {0: [1], 1: [1], 2: [0], 3: [0]})):
+        (value, _, _, token), path = lm_scoring.token_decisions(seen, after, np.array([9, 1, 0, 0]), np.zeros(4, np.int64), np.arange(4), np.full(4, leave))
+        assert path.tolist() == want
+        assert {t: value[token == t].tolist() for t in range(4)} == asked
+
+
+def test_lm_beats_its_base_and_repeats(spark):
+    """Held-out texts that share passages with training texts score above their base; two runs agree."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice(["an", "be", "ti", "on", "er"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    passages = [[rnd.choice(words) for _ in range(30)] for _ in range(12)]
+    rows = [(i, " ".join(rnd.choice(passages) + [rnd.choice(words) for _ in range(20)])) for i in range(200)]
+    held = F.col("doc_id") % 5 == 1
+    runs = [sorted(tuple(r) for r in lm_scoring.score_texts(frame(spark, rows).coalesce(1), held).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
+    out = [r for r in runs[0] if r[1]]
+    assert sum(r[6] for r in out) > sum(r[5] for r in out) + 0.3 * sum(r[2] for r in out)
 
 
 def test_empty_tables(spark):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,11 @@ def work_dir(spark: SparkSession) -> str:
     if not shared:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = found.get() if found.isDefined() else None
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tidemark-")
+    if not shared and spark.sparkContext.master.startswith("local["):
+        shared = tempfile.mkdtemp(prefix="tidemark-")  # driver and executors are one process here
         spark.sparkContext.setCheckpointDir(shared)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/tidemark"
 
 
@@ -95,37 +98,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The Mersenne prime that rolling hashes are taken modulo, and the base of their powers.
+PRIME = (1 << 61) - 1
+_BASE = 0x1B873593CC9E2D51 % PRIME
+_P, _LOW, _HALF = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime; a below it, b below 2**31."""
+    high, low = (a >> np.uint64(31)) * b, (a & _HALF) * b
+    return _reduced((high >> np.uint64(30)) + ((high & _LOW) << np.uint64(31)) + _reduced(low))
+
 
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it."""
+    high = _times_small(a, b >> np.uint64(31))
+    return _reduced((high >> np.uint64(30)) + ((high & _LOW) << np.uint64(31)) + _times_small(a, b & _HALF))
 
-def _inverse(x: int) -> int:
-    """Inverse of an odd number modulo 2**64, by Newton steps."""
-    y = x
-    for _ in range(6):
-        y = y * (2 - x * y) % (1 << 64)
-    return y
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """Powers of a base from the zeroth; kept and doubled as longer data comes."""
+    out = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate((out, mulmod(out, np.full(1, pow(base, len(out), PRIME), np.uint64))))
+    _POWERS[base] = out
+    return out[:n]
 
 
 class RollingHash:
-    """64-bit polynomial hashes of all substrings of an integer array: random value per byte or number, powers of an odd base, then mixed."""
+    """Hashes of all substrings of an integer array: a random value below 2**31 for each byte or number, polynomials modulo 2**61 - 1,
+    then mixed with the length. Two strings of n symbols agree with a probability of about n / 2**61 whatever they are."""
 
-    table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(33)
 
-    def __init__(self, data: np.ndarray, seed: int = 0):
-        base = int(_BASE) ^ (seed << 1)
-        self.inverse = _powers(_inverse(base), len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((self.table[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + _BASE)) * _powers(base, len(data) + 1)[: len(data)], dtype=np.uint64, out=self.sums[1:])
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        value = self.table[data] if data.dtype == np.uint8 else mix64(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        terms = _times_small(_powers(_BASE, n + 1)[:n], value)
+        self.inverse = _powers(pow(_BASE, -1, PRIME), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        high, low = _reduced(np.cumsum(terms >> np.uint64(31), dtype=np.uint64)), _reduced(np.cumsum(terms & _HALF, dtype=np.uint64))
+        self.sums[1:] = _reduced((high >> np.uint64(30)) + ((high & _LOW) << np.uint64(31)) + low)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of bounds."""
-        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        differ = self.sums[end] + _P - self.sums[start]
+        return mix64(mulmod(_reduced(differ), self.inverse[start]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def planes(values: np.ndarray, kind: type) -> bytes:
+    """Bytes of an array, first bytes of all values first: the equal high bytes of ids and counts then compress well."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def values_of(data: bytes, kind: type) -> np.ndarray:
+    """Array of planes()."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices with it in order) for each part there is."""
+    order = np.argsort(part, kind="stable")
+    if len(order):
+        cut = np.flatnonzero(np.diff(part[order])) + 1
+        for rows in np.split(order, cut):
+            yield int(part[rows[0]]), rows
 
 
 def string_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +185,10 @@ def string_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
+def hash_words(words: pa.Array | list[bytes], seed: int = 0) -> np.ndarray:
     """64-bit hash of each string: the same on every machine and in every process."""
-    data, offsets = string_buffers(words)
-    return RollingHash(data).of(offsets[:-1], offsets[1:])
+    held = words if isinstance(words, list) else words.cast(pa.large_binary()).to_pylist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in held), np.uint64, len(held))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -1,72 +1,96 @@
 """LM scoring by online logistic context mixing: hashed-context bit predictors, gated weights, adaptive refinement.
 
-The model codes a text as its lower-cased words, each as its bytes and a blank, then an end symbol; every byte is eight binary
-decisions. Contexts are the last one to four bytes of the word and the word so far, so a word's probability is the same wherever it
-stands: each distinct word is scored once, and a text is the sum over its words. Counts behind the predictors are sums over the
-training words of the whole corpus; the gated weights and the refinement learn online over all of those words in every task, each
-occurrence left out of its own prediction, and tasks' weights are averaged by the words they saw.
+A text is its lower-cased words and one end. Each token is coded by binary decisions: was it seen in training after the two words
+before it, else after the one word before, else at all; the first yes leaves a choice among the words so seen, paid by their
+counts; a word never seen is spelled, eight decisions a byte and a closing blank. Every decision's probability comes from several
+predictors (counts of earlier outcomes in hashed contexts: how often the words before were seen, the word before, the last
+outcomes of the text; for bytes the last 1 to 6 bytes), mixed in the logistic domain by weights chosen by a gate, and then refined.
+
+Counts of one, two and three words in a row cover all training rows in any number: each block of texts asks the parts of a
+hash for the counts of its distinct sequences, so a sequence reaches its part once a block, however common it is.
+Predictors' tables have a fixed number of slots. Weights and refinement learn online in text order, each occurrence left out of
+its own prediction; tasks' results are averaged by the decisions they saw, in fixed order.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, arrow_words, mix64, partitions_for, stage_table, string_buffers
+from .common import arrow_words, hash_words, mix64, partitions_for, pieces, planes, split_by, stage_table, string_buffers, values_of
 
-BLOCK = 16 << 20
-#: Log2 of the slots of each predictor's table at most: contexts of 1, 2, 3, 4 bytes and of the word so far.
-TABLE_BITS = (16, 20, 22, 22, 23)
-GATES, STEPS = 64, 33
-WORDS_AT_ONCE, WORDS_A_STEP = 20_000, 1000
+BLOCK = 6 << 20
 END = b"\xff"
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Counts by code: exact to 31, then by constant steps.
-_COUNTS = np.concatenate((np.arange(32), 32 * 1.113 ** np.arange(1, 225))).astype(np.float32)
-_EDGES = (_COUNTS[1:] + _COUNTS[:-1]) / 2
+STEPS = 33
+#: Log2 of the slots of the tables of word decisions, and of the byte predictors with the lengths of their contexts.
+WORD_BITS, BYTE_BITS, BYTE_ORDERS = (12, 12, 14, 12, 14), (16, 16, 18, 18, 18), (1, 2, 3, 4, 6)
+WORD_GATES, BYTE_GATES = 3 * 4 * 3, 8 * 6
+SPAN = 1 << 14
+FOLD = 256
+CHUNK = 1 << 15
+_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_START = np.uint64(0x8EBC6AF09C88C6E3)
+BLOCKS = "block long, keys binary, nulls binary, held binary, counts binary, ids binary, words binary, sizes binary, texts long, tokens long"
+FEATURES = "block long, keys binary, nulls binary, held binary, counts binary, base binary, known binary, choice binary, bytes binary, seen binary, after2 binary, after1 binary, before binary, single binary, single_sizes binary, novel binary, novel_sizes binary, novel_text binary, novel_word binary"
 
 
 class Words:
-    """Flat bytes of words with the blank after each, and the five context hashes of every byte. The last word can be the end symbol."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, end: bool = False):
-        n = np.diff(offsets)
-        if not end:
-            out = np.full(len(data) + len(n), 32, np.uint8)
-            out[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-            n = n + 1
-        else:
-            out = data
-        self.bytes, self.n = out.astype(np.int64), n
-        self.word = np.repeat(np.arange(len(n)), n)
-        start = np.repeat(np.cumsum(n) - n, n)
-        place = np.arange(len(out)) - start
-        self.contexts = []
-        value = np.zeros(len(out), np.uint64)
-        for k in range(1, 5):
-            before = np.where(place >= k, np.concatenate((np.zeros(min(k, len(out)), np.int64), self.bytes[:-k]))[: len(out)] + 1, 0)
+    """Flat bytes of words with the blank after each, and the context hashes of every byte."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        out = np.full(len(data) + len(sizes), 32, np.int64)
+        out[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+        n = sizes + 1
+        self.bytes, self.word, self.n = out, np.repeat(np.arange(len(n)), n), len(n)
+        place = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        value, self.contexts = np.zeros(len(out), np.uint64), []
+        for k in range(1, BYTE_ORDERS[-1] + 1):
+            before = np.where(place >= k, np.concatenate((np.zeros(min(k, len(out)), np.int64), out[:-k]))[: len(out)] + 1, 0)
             value = value * np.uint64(257) + before.astype(np.uint64)
-            self.contexts.append(mix64(value * _C[k - 1] + np.uint64(k)))
-        self.contexts.append(RollingHash(out).of(start, start + place))
+            if k in BYTE_ORDERS:
+                self.contexts.append(mix64(value * _C[k % 6] + np.uint64(k)))
 
-    def bit(self, i: int, bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Bit i (0 the highest) of every byte, the node above it, and each predictor's slot."""
-        node = (1 << i) | (self.bytes >> (8 - i))
-        salt = mix64(node.astype(np.uint64) * _C[4])
-        slots = [((c ^ salt) * _C[0] >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(self.contexts, bits, strict=True)]
-        return (self.bytes >> (7 - i)) & 1, node, slots
-
-
-def word_chunks(words: pa.Array, size: int = WORDS_AT_ONCE) -> Iterator[tuple[slice, Words]]:
-    for start in range(0, len(words), size):
-        part = words.slice(start, size)
-        yield slice(start, start + len(part)), Words(*string_buffers(part))
+    def decisions(self) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each bit of the bytes, the highest first: its value, the slot of each predictor, and its place in the byte."""
+        for i in range(8):
+            node = (1 << i) | (self.bytes >> (8 - i))
+            salt = mix64(node.astype(np.uint64) * _C[4])
+            yield (self.bytes >> (7 - i)) & 1, [((c ^ salt) * _C[0] >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(self.contexts, BYTE_BITS, strict=True)], np.full(len(self.bytes), i)
+
+
+def levels(n: np.ndarray) -> np.ndarray:
+    """Count to a level: exact to 3, then by powers of two."""
+    return np.where(n < 4, n, np.minimum(np.frexp(np.maximum(n, 1).astype(np.float64))[1] + 1, 15)).astype(np.int64)
+
+
+def token_decisions(seen: np.ndarray, after2: np.ndarray, after1: np.ndarray, before: np.ndarray, place: np.ndarray, left_out: np.ndarray):
+    """(value, slots, gate, token) of the word decisions in text order, and the path of each token: 0 seen after two words, 1 after
+    one, 2 at all, 3 never. left_out: True where the token's own occurrence is taken out of the counts."""
+    out = left_out.astype(np.int64)
+    n3, n2, n1 = ((seen >> s & 3).astype(np.int64) - out > 0 for s in (0, 2, 4))
+    path = np.where(n3, 0, np.where(n2, 1, np.where(n1, 2, 3)))
+    many2, many1 = after2.astype(np.int64) - out, after1.astype(np.int64) - out
+    l2, l1 = levels(many2), levels(many1)
+    hit, far = n3.astype(np.int64), path > 1
+    last = [np.where(place >= j, np.concatenate((np.zeros(min(j, len(hit)), np.int64), hit[:-j]))[: len(hit)], 0) for j in range(1, 7)]
+    was_far = np.where(place >= 1, np.concatenate((np.zeros(min(1, len(hit)), np.int64), far[:-1])), 0)
+    run = sum(x << j for j, x in enumerate(last))
+    parts = []
+    for d, ask in enumerate((many2 > 0, (path > 0) & (many1 > 0), path > 1)):
+        at = np.flatnonzero(ask)
+        contexts = (l2 * 8 + (run & 7), l1 * 8 + (run & 3) * 2 + was_far, before.astype(np.int64) * 16 + l1, run * 2 + was_far, (l2 * 16 + l1) * 4 + (run & 3))
+        slots = [(mix64((c[at] * 3 + d).astype(np.uint64) * _C[k] + np.uint64(k)) >> np.uint64(64 - b)).astype(np.int64) for k, (c, b) in enumerate(zip(contexts, WORD_BITS, strict=True))]
+        sure = np.where(d == 0, l2[at] > 2, l1[at] > 2).astype(np.int64) + (np.where(d == 0, l2[at], l1[at]) > 6)
+        parts.append(((path[at] == d).astype(np.int64), slots, (d * 4 + (run[at] & 3)) * 3 + sure, at))
+    order = np.argsort(np.concatenate([p[3] for p in parts]), kind="stable")
+    joined = lambda f: np.concatenate([f(p) for p in parts])[order]
+    return (joined(lambda p: p[0]), [joined(lambda p, k=k: p[1][k]) for k in range(len(WORD_BITS))], joined(lambda p: p[2]), joined(lambda p: p[3])), path
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -74,245 +98,315 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predictor tables (codes of the counts of zeros and ones), gated weights and the refinement table."""
-
-    def __init__(self, bits: tuple[int, ...], tables: list[np.ndarray], weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.bits, self.tables = bits, tables
-        self.weights = np.full((GATES, len(bits)), 0.35) if weights is None else weights
-        self.refined = refined
-
-    def inputs(self, words: Words, i: int, left_out: bool):
-        bit, node, slots = words.bit(i, self.bits)
-        s, seen, sure = np.empty((len(bit), len(slots)), np.float32), [], None
+    """Predictor tables (counts of zeros and ones), gated weights and the refinement of the mixed probability."""
+
+    def __init__(self, tables: list[np.ndarray], gates: int, state: np.ndarray | None = None):
+        k = len(tables)
+        self.tables, self.gates = tables, gates
+        self.weights, self.refined = np.full((gates, k), 1.5 / k), np.tile(squash(np.linspace(-12, 12, STEPS)), (gates, 1))
+        self.pace, self.mass, self.hits = np.zeros((gates, k)), np.zeros(gates), np.full((gates, STEPS), 40.0)
+        if state is not None:
+            sums = self.unpack(state)
+            self.weights = np.where(sums[1][:, None] > 0, sums[0] / np.maximum(sums[1], 1)[:, None], self.weights)
+            self.refined = np.where(sums[3] > 0, sums[2] / np.maximum(sums[3], 1e-9), self.refined)
+
+    def pack(self) -> np.ndarray:
+        """What tasks add up: weights and refinement times the decisions behind them, and these."""
+        hits = self.hits - 40.0
+        return np.concatenate([(self.weights * self.mass[:, None]).ravel(), self.mass, (self.refined * hits).ravel(), hits.ravel()])
+
+    def unpack(self, state: np.ndarray) -> list[np.ndarray]:
+        shapes, out, at = ((self.gates, len(self.tables)), (self.gates,), (self.gates, STEPS), (self.gates, STEPS)), [], 0
+        for shape in shapes:
+            size = int(np.prod(shape))
+            out.append(state[at : at + size].reshape(shape))
+            at += size
+        return out
+
+    def mixed(self, value: np.ndarray | None, slots: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictors' inputs and the mix; with a value, its own outcome is left out of the counts."""
+        s = np.empty((len(gate), len(slots)))
         for k, at in enumerate(slots):
-            zeros, ones = _COUNTS[self.tables[k][0][at]], _COUNTS[self.tables[k][1][at]]
-            if left_out:
-                ones, zeros = np.maximum(ones - bit, 0), np.maximum(zeros - (1 - bit), 0)
-            s[:, k] = np.log(ones + np.float32(0.3)) - np.log(zeros + np.float32(0.3))
-            seen.append(ones + zeros)
-            sure = np.minimum(ones, zeros) == 0
-        level = lambda n, most: np.minimum(np.log2(1 + n).astype(np.int64), most)
-        return bit, node, s, (level(seen[4], 7) * 2 + sure) * 4 + level(seen[3], 3)
-
-    def mix(self, s: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", s, self.weights[gate].astype(np.float32)), -12, 12)
+            zeros, ones = self.tables[k][0][at].astype(np.float64), self.tables[k][1][at].astype(np.float64)
+            if value is not None:
+                zeros, ones = np.maximum(zeros - (1 - value), 0), np.maximum(ones - value, 0)
+            s[:, k] = np.log((ones + 0.3) / (zeros + 0.3))
+        return s, np.clip(np.einsum("ij,ij->i", s, self.weights[gate]), -12, 12)
 
     def final(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Mixed probability of a one, averaged with its refinement by gate and quantised stretch."""
-        p = squash(x.astype(np.float64))
-        if self.refined is not None:
-            place = (x.astype(np.float64) + 12) * ((STEPS - 1) / 24)
-            low = np.minimum(place.astype(np.int64), STEPS - 2)
-            part = place - low
-            p = (p + self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part) / 2
-        return np.clip(p, 1e-9, 1 - 1e-9)
-
-    def log10(self, words: Words) -> np.ndarray:
-        """Log10 probability of each word."""
-        total = np.zeros(len(words.bytes))
-        for i in range(8):
-            bit, node, s, gate = self.inputs(words, i, False)
-            p = self.final(self.mix(s, gate), gate)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(words.word, weights=total, minlength=len(words.n))
-
-    def learn(self, words: Words, count: np.ndarray, pace: np.ndarray, hits: np.ndarray, mass: np.ndarray, rate: float = 0.1) -> None:
-        """One online step for each bit: weights move against the error of the mix, hits gather what the refinement needs."""
-        c = count[words.word]
-        for i in range(8):
-            bit, node, s, gate = self.inputs(words, i, True)
-            x = self.mix(s, gate)
-            p = squash(x.astype(np.float64))
-            total = np.bincount(gate, weights=c, minlength=GATES)
-            used = total > 0
-            for k in range(s.shape[1]):
-                step = np.bincount(gate, weights=c * (bit - p) * s[:, k], minlength=GATES)[used] / total[used]
-                pace[used, k] += step * step
-                self.weights[used, k] += rate * step / np.sqrt(pace[used, k] + 1e-6)
-            mass += total
-            place = np.rint((x.astype(np.float64) + 12) * ((STEPS - 1) / 24)).astype(np.int64)
-            np.add.at(hits[0], (gate, place), c)
-            np.add.at(hits[1], (gate, place), c * bit)
-
-
-def refinement(hits: np.ndarray, prior: float = 40.0) -> np.ndarray:
-    centre = squash(np.linspace(-12, 12, STEPS))[None, :]
-    return (hits[1] + prior * centre) / (hits[0] + prior)
-
-
-def training_tables(vocabulary: DataFrame, ends: int, bits: tuple[int, ...], span: int = 1 << 16) -> list[np.ndarray]:
-    """Tables of count codes, summed over the vocabulary in spans of slots; what the driver holds is bounded by the tables."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [[np.zeros(1 << b, np.float32) for _ in range(2)] for b in bits]
-
-        def take(words: Words, c: np.ndarray) -> None:
-            w = c[words.word]
-            for i in range(8):
-                bit, _, slots = words.bit(i, bits)
-                for k, at in enumerate(slots):
-                    for v in (0, 1):
-                        rows = bit == v
-                        order = np.bincount(at[rows] >> 0, weights=w[rows], minlength=0) if bits[k] <= 16 else None
-                        if order is not None:
-                            sums[k][v][: len(order)] += order.astype(np.float32)
-                        else:
-                            np.add.at(sums[k][v], at[rows], w[rows].astype(np.float32))
-
-        used = False
-        for batch in batches:
-            used = used or batch.num_rows > 0
-            c = batch.column(1).to_numpy().astype(np.float64)
-            for part, words in word_chunks(batch.column(0).cast(pa.large_string())):
-                take(words, c[part])
-        for k, pair in enumerate(sums if used else []):
-            for start in range(0, len(pair[0]), span):
-                got = [x[start : start + span] for x in pair]
-                at = np.flatnonzero((got[0] > 0) | (got[1] > 0))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([start], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), *(pa.array([x[at].astype(np.float32).tobytes()], pa.binary()) for x in got)], names=["k", "start", "at", "zeros", "ones"])
+        place = (x + 12) * ((STEPS - 1) / 24)
+        low = np.minimum(place.astype(np.int64), STEPS - 2)
+        part = place - low
+        return np.clip((squash(x) + self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part) / 2, 1e-9, 1 - 1e-9)
+
+    def log10(self, value: np.ndarray, slots: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Log10 probability of each decision's value."""
+        p = self.final(self.mixed(None, slots, gate)[1], gate)
+        return np.log10(np.where(value == 1, p, 1 - p))
+
+    def learn(self, value: np.ndarray, slots: list[np.ndarray], gate: np.ndarray, rate: float = 0.1) -> None:
+        """One online step: weights move against the error, refinement towards what happened."""
+        s, x = self.mixed(value, slots, gate)
+        error = value - squash(x)
+        n = np.bincount(gate, minlength=self.gates)
+        used = n > 0
+        for k in range(s.shape[1]):
+            step = np.bincount(gate, weights=error * s[:, k], minlength=self.gates)[used] / n[used]
+            self.pace[used, k] += step * step
+            self.weights[used, k] += rate * step / np.sqrt(self.pace[used, k] + 1e-6)
+        self.mass += n
+        cell = gate * STEPS + np.rint((x + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+        got = np.bincount(cell, minlength=self.hits.size).reshape(self.hits.shape)
+        ones = np.bincount(cell, weights=value, minlength=self.hits.size).reshape(self.hits.shape)
+        self.hits += got
+        self.refined += (ones - got * self.refined) / self.hits
+
+
+def byte_gate(tables: list[np.ndarray], slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
+    """Place in the byte and how much the contexts of two and four bytes have seen."""
+    seen = lambda k: tables[k][0][slots[k]].astype(np.int64) + tables[k][1][slots[k]]
+    return bit * 6 + np.minimum(levels(seen(3)), 4) // 2 * 2 + (seen(1) > 30)
+
+
+def spelled(mixer: Mixer, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Log10 probability of each word's bytes and the blank."""
+    total, ends = np.zeros(len(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+    raw = np.frombuffer(data, np.uint8)
+    for start in range(0, len(sizes), 4096):
+        part = sizes[start : start + 4096]
+        words = Words(raw[ends[start] : ends[start + len(part)]], part)
+        for value, slots, bit in words.decisions():
+            total[start : start + len(part)] += np.bincount(words.word, weights=mixer.log10(value, slots, byte_gate(mixer.tables, slots, bit)), minlength=len(part))
+    return total
+
+
+class Block:
+    """A row of the blocks table: its tokens' sequences of one, two and three words as keys."""
+
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.keys, self.nulls, self.held = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["held"], bool)
+        words, ids = values_of(row["counts"], np.int32).astype(np.int64), values_of(row["ids"], np.int32).astype(np.int64)
+        self.data, self.sizes = row["words"] + END, np.append(values_of(row["sizes"], np.int32), len(END)).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.texts = [self.data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        # One end after the words of each text; its id is the last.
+        self.n = words + 1
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.ids = np.full(len(self.doc), len(self.sizes) - 1)
+        self.ids[self.place < np.repeat(words, self.n)] = ids
+        self.train = ~self.held[self.doc]
+
+    def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(distinct keys in order, the key of each token by number, training tokens of each key) for one, two and three words."""
+        one = hash_words(self.texts)[self.ids]
+        back = lambda j: np.where(self.place >= j, np.concatenate((np.full(min(j, len(one)), _START), one[:-j]))[: len(one)], _START)
+        two = mix64(back(1) * _C[0] + one)
+        three = mix64(back(2) * _C[1] + two)
+        for key in (one, two, three):
+            distinct, number = np.unique(key, return_inverse=True)
+            yield distinct, number, np.bincount(number[self.train], minlength=len(distinct))
+
+
+def tree_sum(rows: DataFrame, tasks: int, count: str) -> list:
+    """Rows (g, k, data: numbers of type `count` as bytes) added up by k, at most FOLD rows of a k in one group at a time."""
 
     def add(table: pa.Table) -> pa.Table:
-        k, start = table.column("k")[0].as_py(), table.column("start")[0].as_py()
-        size = min(span, 1 << bits[k])
-        sums = [np.zeros(size), np.zeros(size)]
-        for row in table.select(["at", "zeros", "ones"]).to_pylist():
-            at = np.frombuffer(row["at"], np.uint16)
-            sums[0][at] += np.frombuffer(row["zeros"], np.float32)
-            sums[1][at] += np.frombuffer(row["ones"], np.float32)
-        codes = [np.searchsorted(_EDGES, x, side="right").astype(np.uint8).tobytes() for x in sums]
-        return pa.table({"k": pa.array([k], pa.int32()), "start": pa.array([start], pa.int32()), "zeros": pa.array([codes[0]], pa.binary()), "ones": pa.array([codes[1]], pa.binary())})
-
-    spans = vocabulary.select("word", "c").mapInArrow(count, "k int, start int, at binary, zeros binary, ones binary").groupBy("k", "start").applyInArrow(add, "k int, start int, zeros binary, ones binary")
-    tables = [np.zeros((2, 1 << b), np.uint8) for b in bits]
-    for row in spans.collect():
-        for v, name in enumerate(("zeros", "ones")):
-            got = np.frombuffer(bytes(row[name]), np.uint8)
-            tables[row["k"]][v][row["start"] : row["start"] + len(got)] = got
-    end = Words(np.frombuffer(END, np.uint8), np.array([0, 1]), end=True)
-    for i in range(8):
-        bit, _, slots = end.bit(i, bits)
-        for k, at in enumerate(slots):
-            old = _COUNTS[tables[k][bit[0]][at[0]]]
-            tables[k][bit[0]][at[0]] = np.searchsorted(_EDGES, old + ends, side="right")
-    return tables
+        held = sorted(table.to_pylist(), key=lambda r: r["g"])
+        total = np.frombuffer(held[0]["data"], count).copy()
+        for r in held[1:]:
+            total += np.frombuffer(r["data"], count)
+        return pa.table({"g": pa.array([held[0]["g"] // FOLD], pa.int64()), "k": pa.array([held[0]["k"]], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    while True:
+        rows = rows.groupBy("k", F.floor(F.col("g") / FOLD).alias("_to")).applyInArrow(add, "g long, k int, data binary")
+        if tasks <= FOLD:
+            return sorted(rows.select("k", "data").collect(), key=lambda r: r["k"])
+        tasks = tasks // FOLD + 1
 
 
-def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", table_bits: tuple[int, ...] = TABLE_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs; other columns are left out.
 
     Rows where held_out (a column expression, null: false) is false train the model. Tokens: words of the lower-cased (A-Z)
-    text and one end. base_score: add-half unigram log10 probability of the tokens; score: the mixing model's log10 probability
-    of the words in order and the end; bits_per_byte: its cost over the bytes so coded. Null and empty texts are one end token.
-    A table has as many slots as the training vocabulary has bytes times 16, rounded up to a power of two, table_bits at most.
-    Distinct words, in any number, meet their counts and scores by joins; only tables, weights and totals are broadcast.
+    text and one end. base_score: add-half unigram log10 probability of the tokens; score: the model's log10 probability of
+    the whole text, words never seen spelled out; bits_per_byte: its cost over the bytes of the words, a blank after each and the end. Null and empty texts are
+    one end token; repeated rows each count. Keys are integers or null. Only tables of fixed size, weights and totals reach the driver or are broadcast.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = partitions_for(spark, total, 16 << 20)
+    parts = 4 * n
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(1)
-            sizes = np.cumsum(np.array([len(x) if x else 0 for x in texts.cast(pa.large_binary()).to_pylist()], np.int64) + 16)
-            start = 0
-            while start < batch.num_rows:
-                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BLOCK, side="right")))
-                ids, words, counts = arrow_words(texts.slice(start, end - start))
-                held = batch.column(2).slice(start, end - start).to_numpy(zero_copy_only=False)
-                train = np.bincount(ids[~np.repeat(held, counts)], minlength=len(words))
-                keys = batch.column(0).slice(start, end - start)
-                null = keys.is_null().to_numpy(zero_copy_only=False)
-                cells = [uuid.uuid4().int >> 65, words.cast(pa.string()).to_pylist(), train.tolist(), keys.fill_null(0).to_numpy().tobytes(), null.tobytes(), held.tobytes(), counts.astype(np.int32).tobytes(), ids.astype(np.int32).tobytes(), int((~held).sum())]
-                kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["block", "words", "n", "keys", "nulls", "held", "counts", "ids", "texts"])
-                start = end
-
-    blocks = stage_table(source.mapInArrow(tokenize, "block long, words array<string>, n array<long>, keys binary, nulls binary, held binary, counts binary, ids binary, texts long"), "blocks")
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "n"))).select("block", F.col("pos").alias("at"), F.col("col.words").alias("word"), F.col("col.n").alias("n"))
-    vocabulary = stage_table(entries.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    seen = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0)).alias("bytes")).first()
-    ends = blocks.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-    all_tokens, distinct = seen["n"] + ends, seen["v"] + (ends > 0)
-    want = max(12, int(16 * seen["bytes"]).bit_length())
-    bits = tuple(min(b, want) for b in table_bits)
-    tables = training_tables(vocabulary, ends, bits)
-    shared = spark.sparkContext.broadcast(tables)
-    end_word = Words(np.frombuffer(END, np.uint8), np.array([0, 1]), end=True)
+            for start, texts in pieces(batch.column(1), BLOCK):
+                ids, words, counts = arrow_words(texts)
+                data, offsets = string_buffers(words)
+                own = [batch.column(i).slice(start, len(texts)) for i in (0, 2)]
+                held = own[1].to_numpy(zero_copy_only=False)
+                cells = [block, own[0].fill_null(0).to_numpy().tobytes(), own[0].is_null().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(), planes(counts, np.int32), planes(ids, np.int32), data.tobytes(), planes(np.diff(offsets), np.int32), int((~held).sum()), int((counts + 1)[~held].sum())]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, cells, strict=True))], pa.schema([(f, pa.int64() if f in ("block", "texts", "tokens") else pa.binary()) for f in names]))
+                block += 1
+
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    blocks = stage_table(source.mapInArrow(tokenize, BLOCKS), "lm-blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                for order, (distinct, _, count) in enumerate(block.sequences()):
+                    out = [(p, block.block, order, planes(distinct[r], np.uint64), planes(count[r], np.int32)) for p, r in split_by((distinct % np.uint64(parts)).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "order", "keys", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for batch in batches:
+            for r in batch.to_pylist():
+                held[r["part"], r["order"]].append(r)
+        for at in sorted(held):
+            rows = held.pop(at)
+            keys, counts = [values_of(r["keys"], np.uint64) for r in rows], [values_of(r["counts"], np.int32) for r in rows]
+            distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(number, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+            ends = np.cumsum([len(k) for k in keys])
+            data = [planes(sums[number[e - len(k) : e]], np.int64) for k, e in zip(keys, ends, strict=True)]
+            new = [int((sums > 0).sum()) if at[1] == 0 and not i else 0 for i in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([at[0]] * len(rows), pa.int32()), pa.array([at[1]] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(new, pa.int64())], names=["block", "part", "order", "counts", "new"])
+
+    asked = blocks.mapInArrow(ask, "part int, block long, order int, keys binary, counts binary").repartition(n, "part")
+    counts = stage_table(asked.mapInArrow(count, "block long, part int, order int, counts binary, new long"), "lm-counts")
+    distinct = counts.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    all_tokens, ends = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+
+    def describe(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [features(Block(row), right.to_pylist()) for row in left.to_pylist()]
+        return pa.Table.from_pylist(out, pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in FEATURES.split(", ")]))
+
+    def features(block: Block, answers: list[dict]) -> dict:
+        found = []
+        for order, (keys, number, _) in enumerate(block.sequences()):
+            got, rows = np.zeros(len(keys), np.int64), dict(split_by((keys % np.uint64(parts)).astype(np.int64)))
+            for r in answers:
+                if r["order"] == order:
+                    got[rows[r["part"]]] = values_of(r["counts"], np.int64)
+            found.append(got[number])
+            if not order:
+                each = np.zeros(len(block.sizes), np.int64)
+                each[block.ids] = found[0]
+        n1, n2, n3 = found
+        one = np.append(ends, n1)[np.where(block.place > 0, np.arange(len(n1)), 0)]
+        two = np.append(ends, n2)[np.where(block.place > 0, np.arange(len(n2)), 0)]
+        choice = np.log10(np.where(n3 > 0, n3 / np.maximum(two, 1), np.where(n2 > 0, n2 / np.maximum(one, 1), np.where(n1 > 0, n1 / max(all_tokens, 1), 1.0))))
+        base = np.log10(n1 + 0.5) - np.log10(all_tokens + 0.5 * (distinct + 1))
+        sums = lambda w: np.bincount(block.doc, weights=w, minlength=len(block.n))
+        seen = np.minimum(n3, 2) | np.minimum(n2, 2) << 2 | np.minimum(n1, 2) << 4
+        used = np.zeros(len(each), bool)
+        used[block.ids[block.train]] = True
+        single, never = np.flatnonzero((each == 1) & used), np.flatnonzero(n1 == 0)
+        novel, word = np.unique(block.ids[never], return_inverse=True)
+        code = lambda x: np.where(x < 128, x, np.minimum(128 + np.frexp(x.astype(np.float64))[1], 255)).astype(np.uint8).tobytes()
+        before = np.concatenate(([0], block.ids[:-1]))[: len(n1)]
+        low = (hash_words(block.texts) & np.uint64(255)).astype(np.uint8)
+        return {
+            "block": block.block, "keys": block.keys.tobytes(), "nulls": block.nulls.tobytes(), "held": block.held.tobytes(), "counts": planes(block.n, np.int64),
+            "base": sums(base).tobytes(), "known": sums(n1 > 0).astype(np.int64).tobytes(), "choice": sums(choice).tobytes(), "bytes": sums(block.sizes[block.ids] + (block.ids < len(block.sizes) - 1)).astype(np.int64).tobytes(),
+            "seen": seen.astype(np.uint8).tobytes(), "after2": code(two), "after1": code(one), "before": np.where(block.place > 0, low[before], 0).astype(np.uint8).tobytes(),
+            "single": b"".join(block.texts[i] for i in single), "single_sizes": planes(block.sizes[single], np.int32), "novel": b"".join(block.texts[i] for i in novel), "novel_sizes": planes(block.sizes[novel], np.int32),
+            "novel_text": planes(block.doc[never], np.int32), "novel_word": planes(word, np.int32),
+        }
+
+    both = blocks.repartition(n, "block").groupBy("block").cogroup(counts.repartition(n, "block").groupBy("block"))
+    table = stage_table(both.applyInArrow(lambda x, y: describe(x, y), FEATURES), "lm-features")
+    tasks = table.rdd.getNumPartitions()
+
+    def decisions_of(row: dict, learning: bool):
+        """Word decisions of a block, and the text of each token; learning: of training tokens, left out of the counts."""
+        size = values_of(row["counts"], np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        seen, before = np.frombuffer(row["seen"], np.uint8), np.frombuffer(row["before"], np.uint8)
+        after2, after1 = (np.where((x := np.frombuffer(row[f], np.uint8).astype(np.int64)) < 128, x, 1 << np.clip(x - 129, 0, 62)) for f in ("after2", "after1"))
+        keep = ~np.frombuffer(row["held"], bool)[doc] if learning else np.ones(len(doc), bool)
+        got, _ = token_decisions(seen[keep], after2[keep], after1[keep], before[keep], place[keep], np.full(int(keep.sum()), learning))
+        return got, doc
+
+    def singles(row: dict) -> Iterator[Words]:
+        sizes, raw = values_of(row["single_sizes"], np.int32).astype(np.int64), np.frombuffer(row["single"], np.uint8)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        for start in range(0, len(sizes), 4096):
+            part = sizes[start : start + 4096]
+            yield Words(raw[at[start] : at[start + len(part)]], part)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((2, 1 << b), np.int64) for b in WORD_BITS + BYTE_BITS]
+
+        def add(k: int, value: np.ndarray, slots: np.ndarray) -> None:
+            got = np.bincount(slots * 2 + value, minlength=2 << (WORD_BITS + BYTE_BITS)[k])
+            tables[k] += got.reshape(-1, 2).T
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                (value, slots, _, _), _ = decisions_of(row, True)
+                for k, at in enumerate(slots):
+                    add(k, value, at)
+                for words in singles(row):
+                    for value, slots, _ in words.decisions():
+                        for k, at in enumerate(slots):
+                            add(len(WORD_BITS) + k, value, at)
+        flat = np.concatenate([t.ravel() for t in tables])
+        for k, start in enumerate(range(0, len(flat), SPAN)):
+            if (span := flat[start : start + SPAN]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([k], pa.int32()), pa.array([span.tobytes()], pa.binary())], names=["g", "k", "data"])
+
+    sizes = [2 << b for b in WORD_BITS + BYTE_BITS]
+    flat = np.zeros(sum(sizes), np.int64)
+    for r in tree_sum(table.select("held", "counts", "seen", "after2", "after1", "before", "single", "single_sizes").mapInArrow(gather, "g long, k int, data binary"), tasks, "int64"):
+        got = np.frombuffer(bytes(r["data"]), np.int64)
+        flat[r["k"] * SPAN : r["k"] * SPAN + len(got)] = got
+    shared = spark.sparkContext.broadcast([x.reshape(2, -1).astype(np.float32) for x in np.split(flat, np.cumsum(sizes)[:-1])])
+
+    def mixers(state: list[np.ndarray] | None = None) -> tuple[Mixer, Mixer]:
+        k = len(WORD_BITS)
+        return Mixer(shared.value[:k], WORD_GATES, state and state[0]), Mixer(shared.value[k:], BYTE_GATES, state and state[1])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Mixer(bits, shared.value)
-        pace, hits, mass = np.zeros(model.weights.shape), np.zeros((2, GATES, STEPS)), np.zeros(GATES)
+        word, byte = mixers()
         for batch in batches:
-            c = batch.column(1).to_numpy().astype(np.float64)
-            for part, words in word_chunks(batch.column(0).cast(pa.large_string()), WORDS_A_STEP):
-                model.learn(words, c[part], pace, hits, mass)
-        sums = (model.weights * mass[:, None], mass, hits)
-        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int % 32], pa.int32()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in sums)], names=["g", "weights", "mass", "hits"])
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        sums = [sum((np.frombuffer(r[f]) for r in rows), np.float64(0)) for f in ("weights", "mass", "hits")]
-        return pa.table({"g": pa.array([rows[0]["g"]], pa.int32())} | {f: pa.array([x.tobytes()], pa.binary()) for f, x in zip(("weights", "mass", "hits"), sums, strict=True)})
-
-    # One row a task, folded into at most 32 before they reach the driver.
-    kinds = "g int, weights binary, mass binary, hits binary"
-    weights, mass, hits = np.zeros((GATES, len(bits))), np.zeros(GATES), np.zeros((2, GATES, STEPS))
-    for row in vocabulary.mapInArrow(learn, kinds).groupBy("g").applyInArrow(fold, kinds).collect():
-        weights += np.frombuffer(bytes(row["weights"])).reshape(weights.shape)
-        mass += np.frombuffer(bytes(row["mass"]))
-        hits += np.frombuffer(bytes(row["hits"])).reshape(hits.shape)
-    weights = np.where(mass[:, None] > 0, weights / np.maximum(mass, 1)[:, None], 0.35)
-    refined = refinement(hits)
-    end_score = float(Mixer(bits, tables, weights, refined).log10(end_word)[0])
-    rest = spark.sparkContext.broadcast((weights, refined))
+            for row in batch.to_pylist():
+                (value, slots, gate, _), _ = decisions_of(row, True)
+                for start in range(0, len(value), CHUNK):
+                    part = slice(start, start + CHUNK)
+                    word.learn(value[part], [s[part] for s in slots], gate[part])
+                for words in singles(row):
+                    for value, slots, bit in words.decisions():
+                        byte.learn(value, slots, byte_gate(byte.tables, slots, bit))
+        g = TaskContext.get().partitionId()
+        for k, m in enumerate((word, byte)):
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([k], pa.int32()), pa.array([m.pack().tobytes()], pa.binary())], names=["g", "k", "data"])
+
+    learned = tree_sum(table.select("held", "counts", "seen", "after2", "after1", "before", "single", "single_sizes").mapInArrow(learn, "g long, k int, data binary"), tasks, "float64")
+    state = spark.sparkContext.broadcast([np.frombuffer(bytes(r["data"])) for r in learned] or None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        coded = table.column("word").cast(pa.large_string()).combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        ids = coded.indices.to_numpy().astype(np.int64)
-        c = np.bincount(ids, weights=table.column("n").to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
-        model, each = Mixer(bits, shared.value, *rest.value), np.zeros(len(c))
-        for part, words in word_chunks(coded.dictionary):
-            each[part] = model.log10(words)
-        block, at = table.column("block").to_numpy(), table.column("at").to_numpy().astype(np.int32)
-        order = np.argsort(block, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([block[rows[0]]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (at[rows], c[ids[rows]], each[ids[rows]].astype(np.float32)))], names=["block", "at", "c", "each"])
-
-    def total_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = defaultdict(list)
-        found = right.to_pylist()
-        for row in left.to_pylist():
-            at = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["at"], np.int32) for r in found)])
-            c, each = np.zeros(len(at), np.int64), np.zeros(len(at))
-            c[at] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["c"], np.int64) for r in found)])
-            each[at] = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["each"], np.float32) for r in found)])
-            counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int32)
-            of = np.repeat(np.arange(len(counts)), counts)
-            size = np.array(row["words_bytes"], np.int64)
-            scale = np.log10(all_tokens + 0.5 * (distinct + 1))
-            base = np.log10(c + 0.5) - scale
-            sums = lambda w, of=of, counts=counts: np.bincount(of, weights=w, minlength=len(counts))
-            got = sums(each[ids]) + end_score
-            out["_key"].append(pa.array(np.frombuffer(row["keys"], np.int64), pa.int64(), mask=np.frombuffer(row["nulls"], bool)))
-            out["held_out"].append(pa.array(np.frombuffer(row["held"], bool)))
-            out["n_tokens"].append(pa.array(counts.astype(np.int64) + 1))
-            out["n_known"].append(pa.array(sums(c[ids] > 0).astype(np.int64) + int(ends > 0)))
-            out["train_tokens"].append(pa.array(np.full(len(counts), all_tokens, np.int64)))
-            out["base_score"].append(pa.array(sums(base[ids]) + np.log10(ends + 0.5) - scale))
-            out["score"].append(pa.array(got))
-            out["bits_per_byte"].append(pa.array(-got / np.log10(2) / (sums(size[ids] + 1) + 1)))
-        kinds = {"_key": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "bits_per_byte": pa.float64()}
-        return pa.table({k: pa.chunked_array(out[k], t) for k, t in kinds.items()})
-
-    scores = entries.repartition(n, "word").mapInArrow(score, "block long, at binary, c binary, each binary")
-    own = blocks.select("block", "keys", "nulls", "held", "counts", "ids", F.transform("words", lambda w: F.octet_length(w)).alias("words_bytes"))
+        word, byte = mixers(state.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                (value, slots, gate, token), doc = decisions_of(row, False)
+                size, held = values_of(row["counts"], np.int64), np.frombuffer(row["held"], bool)
+                got = np.frombuffer(row["choice"]).copy()
+                for start in range(0, len(value), CHUNK):
+                    part = slice(start, start + CHUNK)
+                    got += np.bincount(doc[token[part]], weights=word.log10(value[part], [s[part] for s in slots], gate[part]), minlength=len(size))
+                each = spelled(byte, row["novel"], values_of(row["novel_sizes"], np.int32).astype(np.int64))
+                got += np.bincount(values_of(row["novel_text"], np.int32), weights=each[values_of(row["novel_word"], np.int32)], minlength=len(size))
+                keys = pa.array(np.frombuffer(row["keys"], np.int64), pa.int64(), mask=np.frombuffer(row["nulls"], bool))
+                columns = [keys, pa.array(held), pa.array(size), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(size), all_tokens, np.int64)), pa.array(np.frombuffer(row["base"])), pa.array(got), pa.array(-got / np.log10(2) / np.frombuffer(row["bytes"], np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
     kinds = "_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return own.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(total_up, kinds).withColumnRenamed("_key", key)
+    return table.drop("single", "single_sizes").mapInArrow(score, kinds).withColumnRenamed("_key", key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, mix64, partitions_for, stage_table
+from .common import mix64, partitions_for, planes, split_by, stage_table, values_of
 
 GRAM = 32
 CHUNK = 2 << 20
@@ -27,6 +27,7 @@ BLOBS = "kind int, part int, " + ", ".join(f"{f} binary" for f in FIELDS) + ", d
 #: Kinds of rows: samples, removed runs, samples to be compared byte by byte, their bytes, single windows.
 SAMPLES, RUNS, MIXED, BYTES, WINDOWS = range(5)
 NO_ID = np.iinfo(np.int64).max
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 class LogIndex:
@@ -65,14 +66,36 @@ class LogIndex:
         self.levels.append((f, d, p))
 
 
+def fixed_hashes(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length, a 64-bit hash of every window of so many bytes: halves are mixed pair by pair, so equal strings hash alike anywhere."""
+
+    def both(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = left * np.uint64(0x9FB21C651E98DF25)
+        x += right
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        return x
+
+    level, size, out, done = _BYTES[data], 1, [None] * len(lengths), [0] * len(lengths)
+    while size <= max(lengths):
+        for k, n in enumerate(lengths):
+            if n & size:
+                # The low powers of a length come first in its windows.
+                out[k] = level if out[k] is None else both(out[k][: len(data) - done[k] - size + 1], level[done[k] :])
+                done[k] += size
+        level = both(level[:-size], level[size:]) if len(level) > size else level[:0]
+        size *= 2
+    return out
+
+
 def sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, k-gram hash, run fingerprint) of each run of windows that share a minimizer; windows stay inside texts."""
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(data) < length:
         return none
-    rolling = RollingHash(data)
-    i = np.arange(len(data) - GRAM + 1)
-    h = rolling.of(i, i + GRAM)
+    h, window = fixed_hashes(data, (GRAM, length))
+    i = np.arange(len(h))
     low = (h & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64)  # ties go to the leftmost
     span, size = 1, length - GRAM + 1
     while span * 2 <= size:
@@ -90,7 +113,8 @@ def sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     new[1:] = (np.diff(inside) != 1) | (np.diff(at[inside]) != 0)
     head = np.flatnonzero(new)
     a, n = inside[head], np.diff(np.append(head, len(inside)))
-    return text[a], a, n, h[at[a]], rolling.of(a, a + n + length - 1)
+    # A run is shorter than two windows: its first and last cover it.
+    return text[a], a, n, h[at[a]], mix64(mix64(window[a] + n.astype(np.uint64)) ^ window[a + n - 1])
 
 
 def chunks(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,30 +138,11 @@ def chunks(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield joined()
 
 
-def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    if len(order):
-        cut = np.flatnonzero(np.diff(part[order])) + 1
-        for rows in np.split(order, cut):
-            yield int(part[rows[0]]), rows
-
-
-def _planes(values: np.ndarray, kind: type) -> bytes:
-    """Bytes of an array, first bytes of all values first: the equal high bytes of ids and offsets then compress well."""
-    values = np.ascontiguousarray(values.astype(kind))
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _values(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _rows(kind: int, part: np.ndarray, fields: dict[str, np.ndarray], data: dict[int, bytes] | None = None) -> list[dict]:
     """A row per part with the part's values of each field as bytes."""
     out = []
-    for p, rows in _split(part):
-        out.append({"kind": kind, "part": p, "data": data[p] if data else b""} | {f: _planes(fields[f][rows], t) if f in fields else b"" for f, t in FIELDS.items()})
+    for p, rows in split_by(part):
+        out.append({"kind": kind, "part": p, "data": data[p] if data else b""} | {f: planes(fields[f][rows], t) if f in fields else b"" for f, t in FIELDS.items()})
     return out
 
 
@@ -147,7 +152,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _joined(rows: list[dict], *fields: str) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, FIELDS[f]), *(_values(r[f], FIELDS[f]) for r in rows)]) for f in fields]
+    return [np.concatenate([np.zeros(0, FIELDS[f]), *(values_of(r[f], FIELDS[f]) for r in rows)]) for f in fields]
 
 
 def _raw(texts: pa.Array) -> list[bytes]:
@@ -236,7 +241,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         out, cold = [], hot == 0
         part = (gram.astype(np.int64) * 0x85EBCA77 >> 9) % parts
         got = {f: v[cold] for f, v in {"doc": doc, "tag": tag, "a": a, "n": m, "block": block}.items()}
-        pieces = {p: b"".join(raws[text_of[cold][i]][got["a"][i] : got["a"][i] + got["n"][i] + length - 1] for i in r) for p, r in _split(part[cold])}
+        pieces = {p: b"".join(raws[text_of[cold][i]][got["a"][i] : got["a"][i] + got["n"][i] + length - 1] for i in r) for p, r in split_by(part[cold])}
         out += _rows(BYTES, part[cold], got, pieces)
         if (~cold).any():
             got = [(raws[i][s : s + k + length - 1], k) for i, s, k in zip(text_of[~cold], a[~cold], m[~cold], strict=True)]
@@ -309,4 +314,4 @@ def windows_of(data: bytes, m: np.ndarray, length: int) -> tuple[np.ndarray, np.
     rep = np.repeat(np.arange(len(m)), m)
     step = np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
     at = starts[rep] + step
-    return (RollingHash(buffer).of(at, at + length) if len(at) else np.zeros(0, np.uint64)), rep, step
+    return (fixed_hashes(buffer, (length,))[0][at] if len(at) else np.zeros(0, np.uint64)), rep, step
