@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, mix64, partitions_for, pieces, planes, split_by, stage_table, string_buffers, values_of
+from .common import arrow_words, hash_words, mix64, partitions_for, pieces, planes, stage_table, string_buffers, values_of
 
-BLOCK = 6 << 20
+BLOCK = 3 << 20
+#: Bits of the hash of two or three words in a row that are compared, beside those of single words.
+KEY_BITS = 40
 END = b"\xff"
 STEPS = 33
 #: Log2 of the slots of the tables of word decisions, and of the byte predictors with the lengths of their contexts.
@@ -33,7 +35,7 @@ WORD_BITS, BYTE_BITS, BYTE_ORDERS = (12, 12, 14, 12, 14), (16, 16, 18, 18, 18),
 WORD_GATES, BYTE_GATES = 3 * 4 * 3, 8 * 6
 SPAN = 1 << 14
 FOLD = 256
-CHUNK = 1 << 15
+CHUNK, TEXTS_AT_ONCE = 1 << 15, 1 << 17
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _START = np.uint64(0x8EBC6AF09C88C6E3)
 BLOCKS = "block long, keys binary, nulls binary, held binary, counts binary, ids binary, words binary, sizes binary, texts long, tokens long"
@@ -85,7 +87,7 @@ def token_decisions(seen: np.ndarray, after2: np.ndarray, after1: np.ndarray, be
     for d, ask in enumerate((many2 > 0, (path > 0) & (many1 > 0), path > 1)):
         at = np.flatnonzero(ask)
         contexts = (l2 * 8 + (run & 7), l1 * 8 + (run & 3) * 2 + was_far, before.astype(np.int64) * 16 + l1, run * 2 + was_far, (l2 * 16 + l1) * 4 + (run & 3))
-        slots = [(mix64((c[at] * 3 + d).astype(np.uint64) * _C[k] + np.uint64(k)) >> np.uint64(64 - b)).astype(np.int64) for k, (c, b) in enumerate(zip(contexts, WORD_BITS, strict=True))]
+        slots = [((c[at] * 3 + d).astype(np.uint64) * _C[k] >> np.uint64(64 - b)).astype(np.int64) for k, (c, b) in enumerate(zip(contexts, WORD_BITS, strict=True))]
         sure = np.where(d == 0, l2[at] > 2, l1[at] > 2).astype(np.int64) + (np.where(d == 0, l2[at], l1[at]) > 6)
         parts.append(((path[at] == d).astype(np.int64), slots, (d * 4 + (run[at] & 3)) * 3 + sure, at))
     order = np.argsort(np.concatenate([p[3] for p in parts]), kind="stable")
@@ -103,6 +105,9 @@ class Mixer:
     def __init__(self, tables: list[np.ndarray], gates: int, state: np.ndarray | None = None):
         k = len(tables)
         self.tables, self.gates = tables, gates
+        self.plain = [np.log((ones + 0.3) / (zeros + 0.3)) for zeros, ones in tables]
+        # A zero's or a one's own occurrence taken out.
+        self.without = [np.log(np.concatenate(((ones + 0.3) / (np.maximum(zeros - 1, 0) + 0.3), (np.maximum(ones - 1, 0) + 0.3) / (zeros + 0.3)))) for zeros, ones in tables]
         self.weights, self.refined = np.full((gates, k), 1.5 / k), np.tile(squash(np.linspace(-12, 12, STEPS)), (gates, 1))
         self.pace, self.mass, self.hits = np.zeros((gates, k)), np.zeros(gates), np.full((gates, STEPS), 40.0)
         if state is not None:
@@ -127,10 +132,7 @@ class Mixer:
         """Predictors' inputs and the mix; with a value, its own outcome is left out of the counts."""
         s = np.empty((len(gate), len(slots)))
         for k, at in enumerate(slots):
-            zeros, ones = self.tables[k][0][at].astype(np.float64), self.tables[k][1][at].astype(np.float64)
-            if value is not None:
-                zeros, ones = np.maximum(zeros - (1 - value), 0), np.maximum(ones - value, 0)
-            s[:, k] = np.log((ones + 0.3) / (zeros + 0.3))
+            s[:, k] = self.plain[k][at] if value is None else self.without[k][value * len(self.plain[k]) + at]
         return s, np.clip(np.einsum("ij,ij->i", s, self.weights[gate]), -12, 12)
 
     def final(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -200,15 +202,50 @@ class Block:
 
     def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(distinct keys in order, the key of each token by number, training tokens of each key) for one, two and three words."""
-        one = hash_words(self.texts)[self.ids]
+        one = hash_words(self.texts)
+        order = np.argsort(one)
+        rank = np.empty(len(one), np.int64)
+        rank[order] = np.arange(len(one))
+        yield one[order], rank[self.ids], np.bincount(rank[self.ids[self.train]], minlength=len(one))
+        one = one[self.ids]
         back = lambda j: np.where(self.place >= j, np.concatenate((np.full(min(j, len(one)), _START), one[:-j]))[: len(one)], _START)
         two = mix64(back(1) * _C[0] + one)
         three = mix64(back(2) * _C[1] + two)
-        for key in (one, two, three):
-            distinct, number = np.unique(key, return_inverse=True)
+        for key in (two, three):
+            distinct, number = numbered(key >> np.uint64(64 - KEY_BITS))
             yield distinct, number, np.bincount(number[self.train], minlength=len(distinct))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below 2**KEY_BITS in order, and the number of each key among them."""
+    room = np.uint64(64 - KEY_BITS)
+    if len(keys) >> int(room):
+        distinct, number = np.unique(keys, return_inverse=True)
+        return distinct, number
+    both = np.sort(keys << room | np.arange(len(keys), dtype=np.uint64))  # key and place in one number sort fast
+    at, both = (both & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64), both >> room
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[at] = np.cumsum(new) - 1
+    return both[new], number
+
+
+def part_bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each of `parts` equal ranges of keys of so many bits begins among sorted keys, and the end."""
+    starts = np.array([min(p * (1 << bits) // parts, (1 << bits) - 1) for p in range(1, parts)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, starts), [len(keys)]))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps between them."""
+    return planes(np.diff(keys, prepend=np.uint64(0)), np.uint64)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(values_of(data, np.uint64), dtype=np.uint64)
+
+
 def tree_sum(rows: DataFrame, tasks: int, count: str) -> list:
     """Rows (g, k, data: numbers of type `count` as bytes) added up by k, at most FOLD rows of a k in one group at a time."""
 
@@ -238,7 +275,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = partitions_for(spark, total, 16 << 20)
-    parts = 4 * n
+    parts = n
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -255,31 +292,35 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     blocks = stage_table(source.mapInArrow(tokenize, BLOCKS), "lm-blocks")
 
+    bits = (64, KEY_BITS, KEY_BITS)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                for order, (distinct, _, count) in enumerate(block.sequences()):
-                    out = [(p, block.block, order, planes(distinct[r], np.uint64), planes(count[r], np.int32)) for p, r in split_by((distinct % np.uint64(parts)).astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "order", "keys", "counts"])
+                asked = [(keys, count, part_bounds(keys, parts, b)) for (keys, _, count), b in zip(block.sequences(), bits, strict=True)]
+                cells = [[(packed(keys[at[p] : at[p + 1]]), planes(count[at[p] : at[p + 1]], np.int32)) for p in range(parts)] for keys, count, at in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array([block.block] * parts, pa.int64()), *(pa.array([x[j] for x in c], pa.binary()) for c in cells for j in (0, 1))], names=["part", "block", "k1", "c1", "k2", "c2", "k3", "c3"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
         for batch in batches:
             for r in batch.to_pylist():
-                held[r["part"], r["order"]].append(r)
-        for at in sorted(held):
-            rows = held.pop(at)
-            keys, counts = [values_of(r["keys"], np.uint64) for r in rows], [values_of(r["counts"], np.int32) for r in rows]
-            distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(number, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-            ends = np.cumsum([len(k) for k in keys])
-            data = [planes(sums[number[e - len(k) : e]], np.int64) for k, e in zip(keys, ends, strict=True)]
-            new = [int((sums > 0).sum()) if at[1] == 0 and not i else 0 for i in range(len(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([at[0]] * len(rows), pa.int32()), pa.array([at[1]] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(new, pa.int64())], names=["block", "part", "order", "counts", "new"])
-
-    asked = blocks.mapInArrow(ask, "part int, block long, order int, keys binary, counts binary").repartition(n, "part")
-    counts = stage_table(asked.mapInArrow(count, "block long, part int, order int, counts binary, new long"), "lm-counts")
+                held[r["part"]].append(r)
+        for part in sorted(held):
+            rows = held.pop(part)
+            out, new = [], 0
+            for j in (1, 2, 3):
+                keys = [unpacked(r[f"k{j}"]) for r in rows]
+                distinct, number = (numbered if j > 1 else lambda x: np.unique(x, return_inverse=True))(np.concatenate(keys))
+                sums = np.bincount(number, weights=np.concatenate([values_of(r[f"c{j}"], np.int32) for r in rows]), minlength=len(distinct)).astype(np.int64)
+                new += int((sums > 0).sum()) if j == 1 else 0
+                ends = np.cumsum([len(k) for k in keys])
+                out.append(pa.array([planes(sums[number[e - len(k) : e]], np.int64) for k, e in zip(keys, ends, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), *out, pa.array([new if not i else 0 for i in range(len(rows))], pa.int64())], names=["block", "part", "n1", "n2", "n3", "new"])
+
+    asked = blocks.mapInArrow(ask, "part int, block long, " + ", ".join(f"k{j} binary, c{j} binary" for j in (1, 2, 3))).repartition(n, "part")
+    counts = stage_table(asked.mapInArrow(count, "block long, part int, n1 binary, n2 binary, n3 binary, new long"), "lm-counts")
     distinct = counts.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
     all_tokens, ends = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
 
@@ -289,13 +330,11 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
 
     def features(block: Block, answers: list[dict]) -> dict:
         found = []
-        for order, (keys, number, _) in enumerate(block.sequences()):
-            got, rows = np.zeros(len(keys), np.int64), dict(split_by((keys % np.uint64(parts)).astype(np.int64)))
-            for r in answers:
-                if r["order"] == order:
-                    got[rows[r["part"]]] = values_of(r["counts"], np.int64)
+        answers = sorted(answers, key=lambda r: r["part"])  # in the order of the keys
+        for j, (_, number, _) in enumerate(block.sequences(), 1):
+            got = np.concatenate([values_of(r[f"n{j}"], np.int64) for r in answers])
             found.append(got[number])
-            if not order:
+            if j == 1:
                 each = np.zeros(len(block.sizes), np.int64)
                 each[block.ids] = found[0]
         n1, n2, n3 = found
@@ -324,16 +363,25 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
     table = stage_table(both.applyInArrow(lambda x, y: describe(x, y), FEATURES), "lm-features")
     tasks = table.rdd.getNumPartitions()
 
-    def decisions_of(row: dict, learning: bool):
-        """Word decisions of a block, and the text of each token; learning: of training tokens, left out of the counts."""
-        size = values_of(row["counts"], np.int64)
-        doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-        seen, before = np.frombuffer(row["seen"], np.uint8), np.frombuffer(row["before"], np.uint8)
-        after2, after1 = (np.where((x := np.frombuffer(row[f], np.uint8).astype(np.int64)) < 128, x, 1 << np.clip(x - 129, 0, 62)) for f in ("after2", "after1"))
-        keep = ~np.frombuffer(row["held"], bool)[doc] if learning else np.ones(len(doc), bool)
-        got, _ = token_decisions(seen[keep], after2[keep], after1[keep], before[keep], place[keep], np.full(int(keep.sum()), learning))
-        return got, doc
+    def decisions_of(row: dict, learning: bool) -> Iterator[tuple]:
+        """Word decisions of a block, of some texts at a time, with the text of each; learning: of training tokens, left out of the counts."""
+        size, held = values_of(row["counts"], np.int64), np.frombuffer(row["held"], bool)
+        ends = np.cumsum(size)
+        wide = lambda x: np.where(x < 128, x, 1 << np.clip(x.astype(np.int64) - 129, 0, 62))
+        first = 0
+        while first < len(size):
+            after = max(first + 1, int(np.searchsorted(ends, ends[first] - size[first] + TEXTS_AT_ONCE, side="right")))
+            own, part = size[first:after], slice(int(ends[first] - size[first]), int(ends[after - 1]))
+            doc = np.repeat(np.arange(first, after), own)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
+            seen, after2, after1, before = (np.frombuffer(row[f], np.uint8)[part] for f in ("seen", "after2", "after1", "before"))
+            keep = ~held[doc] if learning else slice(None)
+            doc = doc[keep]
+            (value, slots, gate, token), _ = token_decisions(seen[keep], wide(after2[keep]), wide(after1[keep]), before[keep], place[keep], np.full(len(doc), learning))
+            for start in range(0, len(value), CHUNK):
+                some = slice(start, start + CHUNK)
+                yield value[some], [x[some] for x in slots], gate[some], doc[token[some]]
+            first = after
 
     def singles(row: dict) -> Iterator[Words]:
         sizes, raw = values_of(row["single_sizes"], np.int32).astype(np.int64), np.frombuffer(row["single"], np.uint8)
@@ -351,9 +399,9 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
 
         for batch in batches:
             for row in batch.to_pylist():
-                (value, slots, _, _), _ = decisions_of(row, True)
-                for k, at in enumerate(slots):
-                    add(k, value, at)
+                for value, slots, _, _ in decisions_of(row, True):
+                    for k, at in enumerate(slots):
+                        add(k, value, at)
                 for words in singles(row):
                     for value, slots, _ in words.decisions():
                         for k, at in enumerate(slots):
@@ -378,10 +426,8 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
         word, byte = mixers()
         for batch in batches:
             for row in batch.to_pylist():
-                (value, slots, gate, _), _ = decisions_of(row, True)
-                for start in range(0, len(value), CHUNK):
-                    part = slice(start, start + CHUNK)
-                    word.learn(value[part], [s[part] for s in slots], gate[part])
+                for value, slots, gate, _ in decisions_of(row, True):
+                    word.learn(value, slots, gate)
                 for words in singles(row):
                     for value, slots, bit in words.decisions():
                         byte.learn(value, slots, byte_gate(byte.tables, slots, bit))
@@ -396,12 +442,10 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
         word, byte = mixers(state.value)
         for batch in batches:
             for row in batch.to_pylist():
-                (value, slots, gate, token), doc = decisions_of(row, False)
                 size, held = values_of(row["counts"], np.int64), np.frombuffer(row["held"], bool)
                 got = np.frombuffer(row["choice"]).copy()
-                for start in range(0, len(value), CHUNK):
-                    part = slice(start, start + CHUNK)
-                    got += np.bincount(doc[token[part]], weights=word.log10(value[part], [s[part] for s in slots], gate[part]), minlength=len(size))
+                for value, slots, gate, doc in decisions_of(row, False):
+                    got += np.bincount(doc, weights=word.log10(value, slots, gate), minlength=len(size))
                 each = spelled(byte, row["novel"], values_of(row["novel_sizes"], np.int32).astype(np.int64))
                 got += np.bincount(values_of(row["novel_text"], np.int32), weights=each[values_of(row["novel_word"], np.int32)], minlength=len(size))
                 keys = pa.array(np.frombuffer(row["keys"], np.int64), pa.int64(), mask=np.frombuffer(row["nulls"], bool))
