@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, mix64, partitions_for, stage_table
-from .links import INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, link_components, star_nodes
+from .common import RollingHash, fresh_names, mix64, partitions_for, stage_table
+from .links import INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 CHUNK = 1 << 20
 BINS = 64
@@ -22,15 +23,10 @@ NO_ID = (1 << 63) - 1
 ADDED = ("n_lines", "n_removed_lines")
 
 
-def line_chunks(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(code points, starts, lengths, text, line number) of the lines of min_chars or more, about CHUNK code points at a time."""
+def line_chunks(texts: list[str | None], min_chars: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(lines, text, line number) of the lines of min_chars or more, about CHUNK code points at a time."""
     held, size = [], 0
-
-    def joined():
-        data = np.frombuffer("".join(line for line, _, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = np.array([len(line) for line, _, _ in held], np.int64)
-        return data, np.cumsum(n) - n, n, np.array([t for _, t, _ in held], np.int64), np.array([i for _, _, i in held], np.int64)
-
+    joined = lambda: ([x for x, _, _ in held], np.array([t for _, t, _ in held], np.int64), np.array([i for _, _, i in held], np.int64))
     for t, text in enumerate(texts):
         for i, line in enumerate((text or "").split("\n")):
             if len(line) >= min_chars and not line.isspace():
@@ -43,9 +39,16 @@ def line_chunks(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.nd
         yield joined()
 
 
-def line_nodes(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[RollingHash, np.ndarray]:
-    rolling = RollingHash(data)
-    return rolling, (rolling.of(starts, starts + n) | np.uint64(1)).view(np.int64)
+def line_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, start of each line, length of each)."""
+    n = np.array([len(x) for x in lines], np.int64)
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(n) - n, n
+
+
+def line_nodes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, check): two halves of a 128-bit hash of each line; neither is zero."""
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2) | 1
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def signatures(rolling: RollingHash, starts: np.ndarray, n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,60 +138,63 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, starts, size, of, number in line_chunks(batch.column(1).to_pylist(), least):
-                _, node = line_nodes(data, starts, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array(number, pa.int32()), pa.array(node)], names=["_key", "_tag", "line", "node"])
+            for own, of, number in line_chunks(batch.column(1).to_pylist(), least):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array(number, pa.int32()), *map(pa.array, line_nodes(own))], names=["_key", "_tag", "line", "node", "check"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
         for batch in batches:
-            for data, starts, size, _, _ in line_chunks(batch.column(1).to_pylist(), min_chars):
-                rolling, node = line_nodes(data, starts, size)
+            for own, _, _ in line_chunks(batch.column(1).to_pylist(), min_chars):
+                node, _ = line_nodes(own)
                 fresh = np.unique(node, return_index=True)[1]
-                fresh = fresh[~np.isin(node[fresh], known)]
+                fresh = fresh[~np.isin(node[fresh], known)]  # one of a task's equal lines is enough
                 known = np.concatenate((known, node[fresh]))
-                line, keys, role = signatures(rolling, starts[fresh], size[fresh], max_edits)
+                data, starts, size = line_points([own[i] for i in fresh])
+                line, keys, role = signatures(RollingHash(data), starts, size, max_edits)
                 if len(keys):
                     yield key_batch(keys, node[fresh][line], role, parts)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for data, starts, size, of, number in line_chunks(texts, min_chars):
-                _, node = line_nodes(data, starts, size)
-                hit = [i for i in range(len(node)) if int(node[i]) in asked[of[i]]]
-                bins = [np.minimum(np.bincount(data[starts[i] : starts[i] + size[i]] % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for i in hit]
-                got = [texts[of[i]].split("\n")[number[i]] for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit], pa.int64()), pa.array(got, pa.string()), pa.array(size[hit], pa.int64()), pa.array(bins, pa.binary())], names=["node", "t", "n", "bins"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
+            asked = [set(x) for x in batch.column(0).to_pylist()]
+            for own, of, _ in line_chunks(batch.column(1).to_pylist(), min_chars):
+                node, check = line_nodes(own)
+                hit = [i for i, x in enumerate(node.tolist()) if x in asked[of[i]]]
+                data, starts, size = line_points([own[i] for i in hit])
+                bins = [np.minimum(np.bincount(data[a : a + m] % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for a, m in zip(starts, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit], pa.int64()), pa.array(check[hit], pa.int64()), pa.array([own[i] for i in hit], pa.string()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())], names=["node", "check", "t", "n", "bins"])
+
+    def verify(pairs: DataFrame, by: str) -> DataFrame:
+        for end, line in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(nodes.select(F.col(by).alias(end), F.col("id").alias(f"id_{end}"), F.col("t").alias(line)), end)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = within_edits(batch.column(2).to_pylist(), batch.column(3).to_pylist(), max_edits)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        found = pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "x", "y")
+        return found.mapInArrow(check, "a long, b long")
 
     tagged = source.withColumn("_tag", F.xxhash64("_text"))
-    where = stage_table(tagged.mapInArrow(lines, "_key long, _tag long, line int, node long"), "lines")
+    where = stage_table(tagged.mapInArrow(lines, "_key long, _tag long, line int, node long, check long"), "lines")
     stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket_stars, STARS).distinct(), "line-stars")
-    first = where.groupBy("node").agg(F.min(F.struct("_key", "line", "_tag")).alias("at"))
-    asked = first.join(star_nodes(stars), "node", "left_semi").groupBy(F.col("at._key").alias("_key")).agg(F.collect_set("node").alias("_asked"))
-    nodes = source.join(asked, "_key").select("_asked", "_text").mapInArrow(wanted, "node long, t string, n long, bins binary")
-    nodes = stage_table(nodes.groupBy("node").agg(F.first("t").alias("t"), F.first("n").alias("n"), F.first("bins").alias("bins")), "line-nodes")
+    first = where.groupBy("node", "check").agg(F.min(F.struct("_key", "line", "_tag")).alias("at"))
+    asked = first.join(star_nodes(stars), "node", "left_semi").groupBy(F.col("at._key").alias("_key"), F.col("at._tag").alias("_tag")).agg(F.collect_set("node").alias("_asked"))
+    nodes = tagged.join(asked, ["_key", "_tag"]).select("_asked", "_text").mapInArrow(wanted, "node long, check long, t string, n long, bins binary")
+    nodes = stage_table(with_ids(nodes.groupBy("node", "check").agg(F.first("t").alias("t"), F.first("n").alias("n"), F.first("bins").alias("bins"))), "line-nodes")
     found = link_components(stars, nodes, verify, lambda differ, small, large: (differ <= 2 * max_edits) & (large - small <= max_edits))
-    classes = first.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = classes.groupBy("component").agg(F.min("at").alias("kept"))
-    keeper = classes.select("node", "component").join(kept, "component").select("node", "kept")
-    gone = where.join(keeper, "node").where((F.col("_key") != F.col("kept._key")) | (F.col("line") != F.col("kept.line")))
-    gone = gone.groupBy("_key", "_tag").agg(F.collect_set("line").alias("_gone"))
-    out = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "_tag": F.xxhash64(F.col(text).cast("string"))}).join(gone, ["_key", "_tag"], "left")
+    classes = labelled(first, found)
+    kept = classes.groupBy("label", "part").agg(F.min("at").alias("kept"))
+    keeper = classes.select("node", "check", "label", "part").join(kept, ["label", "part"]).select("node", "check", "kept")
+    gone = where.join(keeper, ["node", "check"]).where((F.col("_key") != F.col("kept._key")) | (F.col("line") != F.col("kept.line")) | (F.col("_tag") != F.col("kept._tag")))
+    k, t, g = fresh_names(docs.columns, "_key", "_tag", "_gone")
+    gone = gone.groupBy(F.col("_key").alias(k), F.col("_tag").alias(t)).agg(F.collect_set("line").alias(g))
+    out = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), t: F.xxhash64(F.col(text).cast("string"))}).join(gone, [k, t], "left")
     all_lines = F.split(F.col(text), "\n")
-    rest = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
+    rest = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
+    new = F.when(F.col(g).isNull(), F.col(text)).otherwise(rest)
     return out.select(
         *(new.alias(c) if c == text else F.col(c) for c in docs.columns), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed_lines"),
+        F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).cast("long").alias("n_removed_lines"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, mix64, stage_table
@@ -84,13 +84,14 @@ def bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pairs_across(members: pa.Table, allowed: Callable, block: int = 64) -> pa.Table:
-    """(a, b): pairs of a bucket's members in different components that sizes (n) and sketches (bins) allow. A pair that
-    shares several buckets (hs) comes from the one with the smallest number only.
+    """(a, b): pairs of a bucket's members in different components that sizes (n) and sketches (bins) allow; of two blocks (at:
+    i, j) of a large bucket those across them. A pair that shares several buckets (hs) comes from the one with the smallest number only.
 
     allowed(differ, n of the smaller, n of the larger) judges the L1 distance of the sketches and the sizes; arrays."""
     n = members.column("n").to_numpy()
     order = np.argsort(n, kind="stable")
-    n, node, component = n[order], members.column("node").to_numpy()[order], members.column("component").to_numpy()[order]
+    n, ids, component, at = (members.column(c).to_numpy()[order] for c in ("n", "id", "component", "at"))
+    one = members.column("i")[0].as_py() == members.column("j")[0].as_py() if len(n) else True
     bins, h = members.column("bins").to_pylist(), members.column("h")[0].as_py() if len(n) else 0
     shared = members.column("hs").to_pylist()
     before = [{z for z in shared[i] if z < h} for i in order]
@@ -100,13 +101,13 @@ def pairs_across(members: pa.Table, allowed: Callable, block: int = 64) -> pa.Ta
         i = np.arange(start, min(start + block, len(n)))
         fits = allowed(np.zeros(len(n) - start, np.int64), np.full(len(n) - start, n[i[-1]]), n[start:])
         j = start + np.flatnonzero(fits | (n[start:] <= n[i[-1]]))
-        x, y = np.nonzero((component[i][:, None] != component[j][None, :]) & (i[:, None] < j[None, :]))
+        x, y = np.nonzero((component[i][:, None] != component[j][None, :]) & (i[:, None] < j[None, :]) & (one | (at[i][:, None] != at[j][None, :])))
         for part in range(0, len(x), 1 << 16):
             u, v = i[x[part : part + (1 << 16)]], j[y[part : part + (1 << 16)]]
             ok = allowed(np.abs(sketch[u] - sketch[v]).sum(axis=1, dtype=np.int64), n[u], n[v])
             first = np.array([before[p].isdisjoint(before[q]) for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True)], bool)
             u, v = u[ok][first], v[ok][first]
-            out.append(np.sort(np.stack((node[u], node[v])), axis=0))
+            out.append(np.sort(np.stack((ids[u], ids[v])), axis=0))
     a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -115,23 +116,54 @@ def star_nodes(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("c").alias("node")).unionByName(stars.select(F.col("x").alias("node"))).distinct()
 
 
-def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], allowed: Callable) -> DataFrame:
-    """(node, component) of all nodes with a link. nodes: node, n, bins. verify: (a, b) to those that link.
+def with_ids(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, check: two independent 64-bit hashes of a row each) with an id of their own: the node, or for texts that
+    share it by chance another number each."""
+    return nodes.withColumn("id", F.when(F.col("check") == F.min("check").over(Window.partitionBy("node")), F.col("node")).otherwise(F.xxhash64("node", "check")))
 
-    Every pair of a star is verified. In buckets whose members are then in several components the pairs across components
-    are, where sketches allow the link. Pairs inside a component are left: they change no class.
+
+def blocks_across(members: DataFrame, allowed: Callable, rows: int) -> DataFrame:
+    """Members (h, id, n and more) with the block pair (i, j) and own block `at` of each task that compares them. A bucket of up to
+    `rows` members is one block; a larger one is cut by size, and blocks meet whose sizes allow links."""
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "id"))
+    placed = members.withColumn("at", F.floor((rank - 1) / rows).cast("int"))
+    bounds = placed.groupBy("h", "at").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = (bounds.select("h", F.col("at").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+    pairs = left.where(F.col("high_i").isNotNull()).join(right, "h").where("i < j")
+    pairs = pairs.where(allowed(F.lit(0), F.least("high_i", "low_j"), F.col("low_j"))).select("h", "i", "j")
+    across = pairs.select("h", "i", "j", F.explode(F.array("i", "j")).alias("at"))
+    return placed.withColumns({"i": F.col("at"), "j": F.col("at")}).unionByName(placed.join(across, ["h", "at"]))
+
+
+def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFrame, str], DataFrame], allowed: Callable, rows: int = 4096) -> DataFrame:
+    """(node, check, component) of all nodes (node, check, id, n, bins). verify: pairs (a, b) of nodes or of ids, as told, to pairs of ids that link.
+
+    Every pair of a star is verified. Buckets in which a star's centre and member are then in different components get the
+    pairs across components verified, where sketches allow the link. Pairs inside a component are left: they change no class.
     """
-    pairs = stage_table(stars.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "pairs")
-    edges = stage_table(verify(pairs), "links")
-    found = components(edges)
+    pairs = stars.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
+    pairs = stage_table(pairs, "pairs")
+    twins = nodes.where("id <> node").select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    edges = stage_table(verify(pairs.unionByName(twins), "node"), "links")
+    found = components(edges).withColumnRenamed("node", "id")
+    known = stage_table(nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
     failed = pairs.join(edges, ["a", "b"], "left_anti")
-    own = stars.withColumns({"a": F.least("c", "x"), "b": F.greatest("c", "x")}).where("h <> 0")
-    own = stars.join(own.join(failed, ["a", "b"], "left_semi").select("h").distinct(), "h", "left_semi")
+    for end in ("a", "b"):
+        failed = failed.join(known.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end)
+    apart = failed.where("in_a <> in_b").select("a", "b").distinct()
+    own = stars.where("h <> 0").withColumns({"a": F.least("c", "x"), "b": F.greatest("c", "x")})
+    own = stars.join(own.join(apart, ["a", "b"], "left_semi").select("h").distinct(), "h", "left_semi")
     members = own.select("h", F.col("c").alias("node")).unionByName(own.select("h", F.col("x").alias("node"))).distinct()
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    members = members.join(several, "h", "left_semi")
-    buckets = members.groupBy("node").agg(F.collect_list("h").alias("hs"))
-    members = members.join(buckets, "node").join(nodes.select("node", "n", "bins"), "node")
-    more = members.groupBy("h").applyInArrow(lambda t: pairs_across(t, allowed), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(edges.unionByName(verify(stage_table(more, "pairs"))))
+    members = stage_table(members.join(known.select("node", "id", "component"), "node").drop("node"), "members")
+    buckets = members.groupBy("id").agg(F.collect_list("h").alias("hs"))  # at most the signatures of one text
+    members = members.join(buckets, "id").join(nodes.select("id", "n", "bins"), "id")
+    tasks = blocks_across(members, allowed, rows).groupBy("h", "i", "j")
+    more = tasks.applyInArrow(lambda t: pairs_across(t, allowed), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    classes = components(edges.unionByName(verify(stage_table(more, "pairs"), "id"))).withColumnRenamed("node", "id")
+    return nodes.select("node", "check", "id").join(classes, "id", "left").select("node", "check", F.coalesce("component", "id").alias("component"))
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (node, check and more) with the class they are of as columns label and part; a row in no star is its own text's."""
+    out = rows.join(found, ["node", "check"], "left")
+    return out.withColumns({"label": F.coalesce("component", "node"), "part": F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0).cast("long"))}).drop("component")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_words, hash_words, mix64, partitions_for, pieces, stage_table
-from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, link_components, star_nodes
+from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 #: Bins of a set's sketch: what two sketches differ by, two sets differ by at least.
@@ -47,15 +47,17 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], shingle[new]
 
 
-def set_nodes(owner: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, size) of each text: the node stands for the set, so texts with one set are one node. 0 for empty sets."""
+def set_nodes(owner: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, check, size) of each text: node and check are hashes of the set, so texts with one set are one node. 0 for empty sets."""
     size = np.bincount(owner, minlength=n)
-    node = np.zeros(n, np.uint64)
+    out = np.zeros((4, n), np.uint64)
     if len(owner):
         head = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
-        one, two = np.add.reduceat(mix64(shingle ^ _ODD[1]), head), np.add.reduceat(mix64(shingle ^ _ODD[2]), head)
-        node[owner[head]] = mix64(one ^ mix64(two)) | np.uint64(1)
-    return node.view(np.int64), size
+        for k in range(4):
+            out[k, owner[head]] = np.add.reduceat(mix64(shingle ^ _ODD[k]), head)
+    some = (size > 0).astype(np.uint64)
+    node, check = (mix64(out[k] ^ mix64(out[k + 1] + _ODD[k])) * some | some for k in (0, 2))
+    return node.view(np.int64), check.view(np.int64), size
 
 
 class Scheme:
@@ -114,9 +116,10 @@ class Scheme:
         return text[used], key[used], role[used].astype(np.uint8)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose whole sets reach the similarity. Both joins are on nodes and can be split where one is hot."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, by: str, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose whole sets reach the similarity, as ids. Both joins are on nodes and can be split where one is hot."""
+    for end, items in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col(by).alias(end), F.col("id").alias(f"id_{end}"), F.col("items").alias(items)), end)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +134,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * shared >= percent * (n - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    found = pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "x", "y")
+    return found.mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
@@ -155,19 +159,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         for batch in batches:
             for start, texts in pieces(batch.column(1)):
                 owner, shingle = shingle_sets(texts, size)
-                node, sizes = set_nodes(owner, shingle, len(texts))
+                node, check, sizes = set_nodes(owner, shingle, len(texts))
                 bins = np.bincount(owner * BINS + (shingle % np.uint64(BINS)).astype(np.int64), minlength=len(texts) * BINS)
                 bins = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
                 bins = pa.array([x.tobytes() for x in bins], pa.binary())
                 own = [batch.column(i).slice(start, len(texts)) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), bins], names=["_key", "_null", "_at", "n_shingles", "node", "bins"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), bins], names=["_key", "_null", "_at", "n_shingles", "node", "check", "bins"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), np.zeros(0, np.int64)
         for batch in batches:
             for _, texts in pieces(batch.column(1)):
                 owner, shingle = shingle_sets(texts, size)
-                node, sizes = set_nodes(owner, shingle, len(texts))
+                node, _, sizes = set_nodes(owner, shingle, len(texts))
                 fresh = np.zeros(len(texts), bool)
                 fresh[np.unique(node, return_index=True)[1]] = True
                 fresh &= ~np.isin(node, known) & (sizes > 0)  # one of a task's texts with the same set is enough
@@ -181,26 +185,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in pieces(batch.column(1)):
+            for start, texts in pieces(batch.column(2)):
                 owner, shingle = shingle_sets(texts, size)
-                node, _ = set_nodes(owner, shingle, len(texts))
-                want = batch.column(0).slice(start, len(texts)).to_numpy()
+                node, check, _ = set_nodes(owner, shingle, len(texts))
+                want = [batch.column(i).slice(start, len(texts)).to_numpy() for i in (0, 1)]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
-                good = np.flatnonzero(node == want)
-                yield pa.RecordBatch.from_arrays([pa.array(node[good], pa.int64()), pa.array([shingle[ends[i] : ends[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "items"])
+                good = np.flatnonzero((node == want[0]) & (check == want[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(node[good], pa.int64()), pa.array(check[good], pa.int64()), pa.array([shingle[ends[i] : ends[i + 1]].tobytes() for i in good], pa.binary())], names=["node", "check", "items"])
 
-    rows = stage_table(source.mapInArrow(describe, "_key long, _null boolean, _at long, n_shingles long, node long, bins binary"), "sets")
+    rows = stage_table(source.mapInArrow(describe, "_key long, _null boolean, _at long, n_shingles long, node long, check long, bins binary"), "sets")
     stars = stage_table(source.mapInArrow(sign, KEYS).repartition(n, "part").mapInArrow(bucket_stars, STARS).distinct(), "stars")
-    nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node").agg(F.min(F.struct("_null", "_at")).alias("_place"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
-    nodes = stage_table(nodes.select("node", "_place.*", "bins", "n"), "nodes")
-    sets = source.join(nodes.select("_null", "_at", "node").hint("merge"), ["_null", "_at"]).select("node", "_text").mapInArrow(shingles, "node long, items binary")
-    sets = stage_table(sets.groupBy("node").agg(F.first("items").alias("items")), "shingles")
+    nodes = rows.join(star_nodes(stars), "node", "left_semi").groupBy("node", "check").agg(F.min(F.struct("_null", "_at")).alias("_place"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"))
+    nodes = stage_table(with_ids(nodes.select("node", "check", "_place.*", "bins", "n")), "nodes")
+    sets = source.join(nodes.select("_null", "_at", "node", "check").hint("merge"), ["_null", "_at"]).select("node", "check", "_text").mapInArrow(shingles, "node long, check long, items binary")
+    sets = sets.groupBy("node", "check").agg(F.first("items").alias("items")).join(nodes.select("node", "check", "id"), ["node", "check"])
+    sets = stage_table(sets.select("node", "id", "items"), "shingles")
 
     def allowed(differ: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
         return ((100 + percent) * differ <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
 
-    found = link_components(stars, nodes, lambda pairs: similar_pairs(pairs, sets, percent), allowed)
-    label = rows.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    smallest = label.where("n_shingles > 0").groupBy("label").agg(F.min("_key").alias("component_id"))
-    out = label.join(smallest, "label", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key")))
+    found = link_components(stars, nodes, lambda pairs, by: similar_pairs(pairs, sets, by, percent), allowed)
+    label = labelled(rows, found)
+    smallest = label.where("n_shingles > 0").groupBy("label", "part").agg(F.min("_key").alias("component_id"))
+    out = label.join(smallest, ["label", "part"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key")))
     return out.select(F.col("_key").alias(key), "n_shingles", "component_id")
