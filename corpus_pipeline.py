@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate
-from tidemark.llm.common import work_dir
+from tidemark.llm.common import fresh_names, stage_table, work_dir
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack
@@ -31,13 +31,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row is known by its id and text, so rows that share an id or have none (the largest) stay unless a group joins them;
     rows without words are in no group and all stay."""
+    key, own, first = fresh_names(docs.columns, "_row", "_id", "_first")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    groups = near_duplicates(docs.select(row.alias("_row"), "text"), key="_row", size=5, percent=80).distinct()
-    ids = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id")).distinct()
-    order = F.struct(F.col("_id").isNull(), "_id", "_row")
-    first = groups.where("n_shingles > 0").join(ids, "_row").groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row")
-    known = docs.withColumn("_row", row)
-    kept = known.join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    groups = near_duplicates(docs.select(row.alias(key), "text"), key=key, size=5, percent=80).distinct()
+    ids = docs.select(row.alias(key), F.col("doc_id").cast("long").alias(own)).distinct()
+    order = F.struct(F.col(own).isNull().alias("null"), F.col(own).alias("id"), F.col(key).alias("row"))
+    first = groups.where("n_shingles > 0").join(ids, key).groupBy("component_id").agg(F.min(order).alias(first)).select(F.col(f"{first}.row").alias(key))
+    known = docs.withColumn(key, row)
+    kept = known.join(first, key, "left_semi").dropDuplicates([key])
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
     return kept.unionByName(known.where(wordless)).select(*docs.columns)
 
