@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -178,6 +179,15 @@ def values_of(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def trim() -> None:
+    """Gives freed memory back to the machine: workers are kept and would hold the most they ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices with it in order) for each part there is."""
     order = np.argsort(part, kind="stable")

@@ -19,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, mix64, partitions_for, pieces, planes, stage_table, string_buffers, values_of
+from .common import arrow_words, hash_words, mix64, partitions_for, pieces, planes, stage_table, string_buffers, trim, values_of
 
 BLOCK = 3 << 20
-#: Bits of the hash of two or three words in a row that are compared, beside those of single words.
-KEY_BITS = 40
 END = b"\xff"
 STEPS = 33
 #: Log2 of the slots of the tables of word decisions, and of the byte predictors with the lengths of their contexts.
@@ -42,6 +41,22 @@ BLOCKS = "block long, keys binary, nulls binary, held binary, counts binary, ids
 FEATURES = "block long, keys binary, nulls binary, held binary, counts binary, base binary, known binary, choice binary, bytes binary, seen binary, after2 binary, after1 binary, before binary, single binary, single_sizes binary, novel binary, novel_sizes binary, novel_text binary, novel_word binary"
 
 
+def zipped(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unzipped(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def squeezed(numbers: np.ndarray, kind: type) -> bytes:
+    return zipped(planes(numbers, kind))
+
+
+def values(data: bytes, kind: type) -> np.ndarray:
+    return values_of(unzipped(data), kind)
+
+
 class Words:
     """Flat bytes of words with the blank after each, and the context hashes of every byte."""
 
@@ -188,8 +203,8 @@ class Block:
     def __init__(self, row: dict):
         self.block = row["block"]
         self.keys, self.nulls, self.held = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["held"], bool)
-        words, ids = values_of(row["counts"], np.int32).astype(np.int64), values_of(row["ids"], np.int32).astype(np.int64)
-        self.data, self.sizes = row["words"] + END, np.append(values_of(row["sizes"], np.int32), len(END)).astype(np.int64)
+        words, ids = values(row["counts"], np.int32).astype(np.int64), values(row["ids"], np.int32).astype(np.int64)
+        self.data, self.sizes = unzipped(row["words"]) + END, np.append(values(row["sizes"], np.int32), len(END)).astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(self.sizes)))
         self.texts = [self.data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         # One end after the words of each text; its id is the last.
@@ -200,8 +215,8 @@ class Block:
         self.ids[self.place < np.repeat(words, self.n)] = ids
         self.train = ~self.held[self.doc]
 
-    def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(distinct keys in order, the key of each token by number, training tokens of each key) for one, two and three words."""
+    def sequences(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(distinct keys in order, the key of each token by number, training tokens of each key) for one, two and three words; `bits` of the hash of two and three are compared."""
         one = hash_words(self.texts)
         order = np.argsort(one)
         rank = np.empty(len(one), np.int64)
@@ -212,13 +227,13 @@ class Block:
         two = mix64(back(1) * _C[0] + one)
         three = mix64(back(2) * _C[1] + two)
         for key in (two, three):
-            distinct, number = numbered(key >> np.uint64(64 - KEY_BITS))
+            distinct, number = numbered(key >> np.uint64(64 - bits), bits)
             yield distinct, number, np.bincount(number[self.train], minlength=len(distinct))
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys below 2**KEY_BITS in order, and the number of each key among them."""
-    room = np.uint64(64 - KEY_BITS)
+def numbered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below 2**bits in order, and the number of each key among them."""
+    room = np.uint64(64 - bits)
     if len(keys) >> int(room):
         distinct, number = np.unique(keys, return_inverse=True)
         return distinct, number
@@ -239,11 +254,11 @@ def part_bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
 
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as steps between them."""
-    return planes(np.diff(keys, prepend=np.uint64(0)), np.uint64)
+    return squeezed(np.diff(keys, prepend=np.uint64(0)), np.uint64)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(values_of(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(values(data, np.uint64), dtype=np.uint64)
 
 
 def tree_sum(rows: DataFrame, tasks: int, count: str) -> list:
@@ -276,6 +291,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = partitions_for(spark, total, 16 << 20)
     parts = n
+    bits = min(56, max(40, int(total).bit_length() + 10))  # some thousand times the sequences there can be
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -285,22 +301,23 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
                 data, offsets = string_buffers(words)
                 own = [batch.column(i).slice(start, len(texts)) for i in (0, 2)]
                 held = own[1].to_numpy(zero_copy_only=False)
-                cells = [block, own[0].fill_null(0).to_numpy().tobytes(), own[0].is_null().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(), planes(counts, np.int32), planes(ids, np.int32), data.tobytes(), planes(np.diff(offsets), np.int32), int((~held).sum()), int((counts + 1)[~held].sum())]
+                cells = [block, own[0].fill_null(0).to_numpy().tobytes(), own[0].is_null().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(), squeezed(counts, np.int32), squeezed(ids, np.int32), zipped(data.tobytes()), squeezed(np.diff(offsets), np.int32), int((~held).sum()), int((counts + 1)[~held].sum())]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, cells, strict=True))], pa.schema([(f, pa.int64() if f in ("block", "texts", "tokens") else pa.binary()) for f in names]))
                 block += 1
+            trim()
 
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     blocks = stage_table(source.mapInArrow(tokenize, BLOCKS), "lm-blocks")
 
-    bits = (64, KEY_BITS, KEY_BITS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                asked = [(keys, count, part_bounds(keys, parts, b)) for (keys, _, count), b in zip(block.sequences(), bits, strict=True)]
-                cells = [[(packed(keys[at[p] : at[p + 1]]), planes(count[at[p] : at[p + 1]], np.int32)) for p in range(parts)] for keys, count, at in asked]
+                asked = [(keys, count, part_bounds(keys, parts, b)) for (keys, _, count), b in zip(block.sequences(bits), (64, bits, bits), strict=True)]
+                cells = [[(packed(keys[at[p] : at[p + 1]]), squeezed(count[at[p] : at[p + 1]], np.int32)) for p in range(parts)] for keys, count, at in asked]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array([block.block] * parts, pa.int64()), *(pa.array([x[j] for x in c], pa.binary()) for c in cells for j in (0, 1))], names=["part", "block", "k1", "c1", "k2", "c2", "k3", "c3"])
+                trim()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
@@ -312,12 +329,13 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
             out, new = [], 0
             for j in (1, 2, 3):
                 keys = [unpacked(r[f"k{j}"]) for r in rows]
-                distinct, number = (numbered if j > 1 else lambda x: np.unique(x, return_inverse=True))(np.concatenate(keys))
-                sums = np.bincount(number, weights=np.concatenate([values_of(r[f"c{j}"], np.int32) for r in rows]), minlength=len(distinct)).astype(np.int64)
+                distinct, number = numbered(np.concatenate(keys), bits) if j > 1 else np.unique(np.concatenate(keys), return_inverse=True)
+                sums = np.bincount(number, weights=np.concatenate([values(r[f"c{j}"], np.int32) for r in rows]), minlength=len(distinct)).astype(np.int64)
                 new += int((sums > 0).sum()) if j == 1 else 0
                 ends = np.cumsum([len(k) for k in keys])
-                out.append(pa.array([planes(sums[number[e - len(k) : e]], np.int64) for k, e in zip(keys, ends, strict=True)], pa.binary()))
+                out.append(pa.array([squeezed(sums[number[e - len(k) : e]], np.int64) for k, e in zip(keys, ends, strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), *out, pa.array([new if not i else 0 for i in range(len(rows))], pa.int64())], names=["block", "part", "n1", "n2", "n3", "new"])
+            trim()
 
     asked = blocks.mapInArrow(ask, "part int, block long, " + ", ".join(f"k{j} binary, c{j} binary" for j in (1, 2, 3))).repartition(n, "part")
     counts = stage_table(asked.mapInArrow(count, "block long, part int, n1 binary, n2 binary, n3 binary, new long"), "lm-counts")
@@ -326,13 +344,14 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
 
     def describe(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [features(Block(row), right.to_pylist()) for row in left.to_pylist()]
+        trim()
         return pa.Table.from_pylist(out, pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in FEATURES.split(", ")]))
 
     def features(block: Block, answers: list[dict]) -> dict:
         found = []
         answers = sorted(answers, key=lambda r: r["part"])  # in the order of the keys
-        for j, (_, number, _) in enumerate(block.sequences(), 1):
-            got = np.concatenate([values_of(r[f"n{j}"], np.int64) for r in answers])
+        for j, (_, number, _) in enumerate(block.sequences(bits), 1):
+            got = np.concatenate([values(r[f"n{j}"], np.int64) for r in answers])
             found.append(got[number])
             if j == 1:
                 each = np.zeros(len(block.sizes), np.int64)
@@ -352,11 +371,11 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
         before = np.concatenate(([0], block.ids[:-1]))[: len(n1)]
         low = (hash_words(block.texts) & np.uint64(255)).astype(np.uint8)
         return {
-            "block": block.block, "keys": block.keys.tobytes(), "nulls": block.nulls.tobytes(), "held": block.held.tobytes(), "counts": planes(block.n, np.int64),
+            "block": block.block, "keys": block.keys.tobytes(), "nulls": block.nulls.tobytes(), "held": block.held.tobytes(), "counts": squeezed(block.n, np.int64),
             "base": sums(base).tobytes(), "known": sums(n1 > 0).astype(np.int64).tobytes(), "choice": sums(choice).tobytes(), "bytes": sums(block.sizes[block.ids] + (block.ids < len(block.sizes) - 1)).astype(np.int64).tobytes(),
-            "seen": seen.astype(np.uint8).tobytes(), "after2": code(two), "after1": code(one), "before": np.where(block.place > 0, low[before], 0).astype(np.uint8).tobytes(),
-            "single": b"".join(block.texts[i] for i in single), "single_sizes": planes(block.sizes[single], np.int32), "novel": b"".join(block.texts[i] for i in novel), "novel_sizes": planes(block.sizes[novel], np.int32),
-            "novel_text": planes(block.doc[never], np.int32), "novel_word": planes(word, np.int32),
+            "seen": zipped(seen.astype(np.uint8).tobytes()), "after2": zipped(code(two)), "after1": zipped(code(one)), "before": zipped(np.where(block.place > 0, low[before], 0).astype(np.uint8).tobytes()),
+            "single": zipped(b"".join(block.texts[i] for i in single)), "single_sizes": squeezed(block.sizes[single], np.int32), "novel": zipped(b"".join(block.texts[i] for i in novel)), "novel_sizes": squeezed(block.sizes[novel], np.int32),
+            "novel_text": squeezed(block.doc[never], np.int32), "novel_word": squeezed(word, np.int32),
         }
 
     both = blocks.repartition(n, "block").groupBy("block").cogroup(counts.repartition(n, "block").groupBy("block"))
@@ -365,16 +384,17 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
 
     def decisions_of(row: dict, learning: bool) -> Iterator[tuple]:
         """Word decisions of a block, of some texts at a time, with the text of each; learning: of training tokens, left out of the counts."""
-        size, held = values_of(row["counts"], np.int64), np.frombuffer(row["held"], bool)
+        size, held = values(row["counts"], np.int64), np.frombuffer(row["held"], bool)
         ends = np.cumsum(size)
         wide = lambda x: np.where(x < 128, x, 1 << np.clip(x.astype(np.int64) - 129, 0, 62))
+        codes = [np.frombuffer(unzipped(row[f]), np.uint8) for f in ("seen", "after2", "after1", "before")]
         first = 0
         while first < len(size):
             after = max(first + 1, int(np.searchsorted(ends, ends[first] - size[first] + TEXTS_AT_ONCE, side="right")))
             own, part = size[first:after], slice(int(ends[first] - size[first]), int(ends[after - 1]))
             doc = np.repeat(np.arange(first, after), own)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
-            seen, after2, after1, before = (np.frombuffer(row[f], np.uint8)[part] for f in ("seen", "after2", "after1", "before"))
+            seen, after2, after1, before = (x[part] for x in codes)
             keep = ~held[doc] if learning else slice(None)
             doc = doc[keep]
             (value, slots, gate, token), _ = token_decisions(seen[keep], wide(after2[keep]), wide(after1[keep]), before[keep], place[keep], np.full(len(doc), learning))
@@ -384,7 +404,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
             first = after
 
     def singles(row: dict) -> Iterator[Words]:
-        sizes, raw = values_of(row["single_sizes"], np.int32).astype(np.int64), np.frombuffer(row["single"], np.uint8)
+        sizes, raw = values(row["single_sizes"], np.int32).astype(np.int64), np.frombuffer(unzipped(row["single"]), np.uint8)
         at = np.concatenate(([0], np.cumsum(sizes)))
         for start in range(0, len(sizes), 4096):
             part = sizes[start : start + 4096]
@@ -406,6 +426,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
                     for value, slots, _ in words.decisions():
                         for k, at in enumerate(slots):
                             add(len(WORD_BITS) + k, value, at)
+                trim()
         flat = np.concatenate([t.ravel() for t in tables])
         for k, start in enumerate(range(0, len(flat), SPAN)):
             if (span := flat[start : start + SPAN]).any():
@@ -431,6 +452,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
                 for words in singles(row):
                     for value, slots, bit in words.decisions():
                         byte.learn(value, slots, byte_gate(byte.tables, slots, bit))
+                trim()
         g = TaskContext.get().partitionId()
         for k, m in enumerate((word, byte)):
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([k], pa.int32()), pa.array([m.pack().tobytes()], pa.binary())], names=["g", "k", "data"])
@@ -442,15 +464,16 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", key: str = "doc_i
         word, byte = mixers(state.value)
         for batch in batches:
             for row in batch.to_pylist():
-                size, held = values_of(row["counts"], np.int64), np.frombuffer(row["held"], bool)
+                size, held = values(row["counts"], np.int64), np.frombuffer(row["held"], bool)
                 got = np.frombuffer(row["choice"]).copy()
                 for value, slots, gate, doc in decisions_of(row, False):
                     got += np.bincount(doc, weights=word.log10(value, slots, gate), minlength=len(size))
-                each = spelled(byte, row["novel"], values_of(row["novel_sizes"], np.int32).astype(np.int64))
-                got += np.bincount(values_of(row["novel_text"], np.int32), weights=each[values_of(row["novel_word"], np.int32)], minlength=len(size))
+                each = spelled(byte, unzipped(row["novel"]), values(row["novel_sizes"], np.int32).astype(np.int64))
+                got += np.bincount(values(row["novel_text"], np.int32), weights=each[values(row["novel_word"], np.int32)], minlength=len(size))
                 keys = pa.array(np.frombuffer(row["keys"], np.int64), pa.int64(), mask=np.frombuffer(row["nulls"], bool))
                 columns = [keys, pa.array(held), pa.array(size), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(size), all_tokens, np.int64)), pa.array(np.frombuffer(row["base"])), pa.array(got), pa.array(-got / np.log10(2) / np.frombuffer(row["bytes"], np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+                trim()
 
     kinds = "_key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return table.drop("single", "single_sizes").mapInArrow(score, kinds).withColumnRenamed("_key", key)
