@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate
 from tidemark.llm.common import fresh_names, stage_table, work_dir
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import ADDED, dedup_lines
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack
-from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.quality_rules import RULE_COLUMNS, quality_rules
+
+
+def shielded(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """docs with columns that an operator would replace by its own under other names, and the columns that bring them back."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    other = dict(zip(clash, fresh_names(docs.columns, *(f"_{c}" for c in clash)), strict=True))
+    return docs.withColumnsRenamed(other), [F.col(other.get(c, c)).alias(c) for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Also without what stands as far from its language's common words as a text that has none of them (0.9 of that distance)."""
-    return quality_rules(docs, max_word_share=0.9).where("kept").select(*docs.columns)
+    docs, own = shielded(docs, RULE_COLUMNS)
+    judged = quality_rules(docs, max_word_share=0.9).select(*docs.columns, "kept")
+    return stage_table(judged, "judged").where("kept").select(*own)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each class of repeated lines keeps its first; a document that loses all its words goes, one that had none stays."""
-    out = dedup_lines(docs.select(*docs.columns), min_equal=1)
-    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*docs.columns)
+    docs, own = shielded(docs, ADDED)
+    out = dedup_lines(docs, min_equal=1)
+    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).select(*own)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
