@@ -133,9 +133,11 @@ def position_decision(momentum: Column, volatility: Column, exit_: Column, predi
     return {"action": pick(1, "HOLD"), "confidence": pick(2, 0.5), "size": size * pick(3, 1.0)}
 
 
-def exit_label(pnl: Column, change: Column) -> Column:
-    """exit_now where a loss goes with falling momentum, extend where a gain goes with rising, else hold."""
-    return F.when((pnl == "losing") & (change == "bearish"), "exit_now").when((pnl == "winning") & (change == "bullish"), "extend").otherwise("hold")
+def exit_label(pnl: Column, most: Column, threshold: float = 0.8) -> Column:
+    """exit_now where the share of the best profit of the event that is captured reaches the threshold, extend where as much is
+    left, else hold. The share lies from 0 to 1 and is 0.5 where it is unknown (no best profit or one of 0)."""
+    captured = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(pnl, most), F.lit(0.5))))
+    return F.when(captured >= threshold, "exit_now").when(1 - captured >= threshold, "extend").otherwise("hold")
 
 
 def confidence_label(outcome: Column, direction: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +13,13 @@ from tidemark.streaming import live
 from .market_queries import MIDPOINTS, STATES, evidence, prediction_cpt, training
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
-
-
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.minutes(spark, sf_dir).select("asset", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "value", "event_id", "h")
 
 
 def a03_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice")
-    base = f"{shared_folder(spark)}/target"
+    base = f"{io.shared_folder(spark)}/target"
     first = io.upsert_parquet(spark, o.where("o_orderkey % 2 = 0"), base, ["o_custkey"], "o_orderkey")
     first.write.parquet(base)
     return io.upsert_parquet(spark, o.where("o_orderkey % 2 = 1"), base, ["o_custkey"], "o_orderkey")
@@ -40,19 +32,19 @@ def a05_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a19_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/json"
+    path = f"{io.shared_folder(spark)}/json"
     spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("n")).write.json(path)
     return spark.read.schema("c_mktsegment string, n long").json(path)
 
 
 def a20_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/csv"
+    path = f"{io.shared_folder(spark)}/csv"
     spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").write.option("header", True).csv(path)
     return spark.read.option("header", True).schema("n_nationkey int, n_name string").csv(path)
 
 
 def a22_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/log"
+    path = f"{io.shared_folder(spark)}/log"
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     n.select(F.concat(F.lit("INFO step="), F.lower("n_name"), F.lit(" rows="), F.col("n_nationkey").cast("string"))).union(spark.createDataFrame([("noise",)], "x string")).write.text(path)
     return io.parse_log(spark.read.text(path))
@@ -74,7 +66,7 @@ def a30_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    base = shared_folder(spark)
+    base = io.shared_folder(spark)
     event_rows(spark, sf_dir).withColumn("part", F.floor(F.col("h") / 168)).select("asset", "ts", "value", "part").repartitionByRange(6, "ts").sortWithinPartitions("ts").drop("part").write.json(f"{base}/in")
     return live.payload_stream(spark, f"{base}/in", 2), base
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.formula import compile_formula
 from tidemark.operators import backtest, barrier, classify, cpt, events, stats, weights
-from tidemark.sources import market
+from tidemark.sources import io, market
 
 LEVELS, SHORT = barrier.LEVELS, 240
 STATES = ["up_strong", "up_weak", "neutral", "down_weak", "down_strong"]
@@ -51,7 +51,7 @@ def labels(spark: SparkSession, sf_dir: str, window: int = SHORT) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with scores, states, regime and hypothesis."""
-    lab = labels(spark, sf_dir).select("asset", "h", "barrier", "hit", barrier.barrier_state(F.col("barrier"), F.col("hit"), SHORT).alias("state"))
+    lab = labels(spark, sf_dir).select("asset", "h", "barrier", "hit", "max_up", barrier.barrier_state(F.col("barrier"), F.col("hit"), SHORT).alias("state"))
     return evidence(spark, sf_dir).join(lab, ["asset", "h"])
 
 
@@ -87,7 +87,7 @@ TRAIN_SQL = (
     "WITH " + market.SIGNALS_SQL.strip() + touch_sql(SHORT)
     + f""",
 cls AS (SELECT *, {five_sql('leading')} AS ls, {five_sql('coincident')} AS cs, {five_sql('confirming')} AS fs, {REGIME_SQL.replace(' d ', ' trend_slow ').replace('(d)', '(trend_slow)').replace(' q ', ' trend_fast ').replace('(q)', '(trend_fast)')} AS r FROM comp),
-trn AS (SELECT c.*, {REDUCED_SQL} AS regime, {HYPOTHESIS_SQL} AS hypothesis, s.barrier, s.hit, s.state FROM cls c JOIN stt s USING (asset, h))"""
+trn AS (SELECT c.*, {REDUCED_SQL} AS regime, {HYPOTHESIS_SQL} AS hypothesis, s.barrier, s.hit, s.max_up, s.state FROM cls c JOIN stt s USING (asset, h))"""
 )
 TOUCH_48H = "WITH " + market.BARS_SQL.strip() + touch_sql(2880)
 SIGNAL_SQL = "WITH " + market.SIGNALS_SQL.strip()
@@ -298,7 +298,7 @@ pred AS (SELECT *, CASE greatest({", ".join(f"p_{s}" for s in STATES)}) {" ".joi
 
 def predictions(spark, sf_dir):
     """Tables fitted on the first 70 % of the period, looked up for the rest."""
-    t = training(spark, sf_dir)
+    t = io.staged(training(spark, sf_dir))  # met four times
     ends = t.agg((F.min("h") + F.floor((F.max("h") - F.min("h")) * 7 / 10)).alias("cut"))
     t = t.crossJoin(F.broadcast(ends))
     fit, test = t.where("h < cut"), t.where("h >= cut").drop("cut")
@@ -627,8 +627,8 @@ def k25(spark, sf_dir):
     return s.select("asset", "h", classify.concordance_scenario(s["trend_slow"], s["cross"], s["trend_fast"], s["jump"]).alias("scenario"))
 
 
-POSITION_SQL = ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[0] + "), q AS (SELECT asset, h, CASE WHEN ch" + ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[1] + """), pos AS (SELECT q.*, t.state, CASE WHEN pnl = 'losing' AND momentum = 'bearish' THEN 'exit_now' WHEN pnl = 'winning' AND momentum = 'bullish' THEN 'extend' ELSE 'hold' END AS exit_timing,
-CASE WHEN t.state = 'up_strong' THEN 'high' WHEN t.state = 'up_weak' THEN 'medium' ELSE 'low' END AS confidence FROM q JOIN trn t USING (asset, h))"""
+POSITION_SQL = ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[0] + "), q AS (SELECT asset, h, CASE WHEN ch" + ORACLES["k32_position_labels"].split(") SELECT asset, h, CASE WHEN ch")[1] + """), pos AS (SELECT q.*, t.state, CASE WHEN k.x >= 0.8 THEN 'exit_now' WHEN 1 - k.x >= 0.8 THEN 'extend' ELSE 'hold' END AS exit_timing,
+CASE WHEN t.state = 'up_strong' THEN 'high' WHEN t.state = 'up_weak' THEN 'medium' ELSE 'low' END AS confidence FROM q JOIN trn t USING (asset, h) JOIN (SELECT asset, h, least(greatest(coalesce((close - lag(close) OVER w) / lag(atr) OVER w / nullif(lag(max_up) OVER w, 0), 0.5), 0), 1) AS x FROM trn WINDOW w AS (PARTITION BY asset ORDER BY h)) k USING (asset, h))"""
 #: States of the position nodes.
 NODES = {
     "delta": ["weakening", "stable", "strengthening"], "bucket": ["0-1h", "1-4h", "4-12h", "12h+"], "pnl": ["losing", "breakeven", "winning"], "momentum": ["bearish", "neutral", "bullish"],
@@ -637,8 +637,11 @@ NODES = {
 
 
 def positions(spark, sf_dir):
-    rows = k32(spark, sf_dir).join(training(spark, sf_dir).select("asset", "h", "state"), ["asset", "h"])
-    return rows.withColumns({"exit_timing": classify.exit_label(F.col("pnl"), F.col("momentum")), "confidence": classify.confidence_label(F.col("state"), F.lit("long"))})
+    by = Window.partitionBy("asset").orderBy("h")
+    before = lambda c: F.lag(c).over(by)
+    exits = classify.exit_label((F.col("close") - before("close")) / before("atr"), before("max_up"))
+    rows = k32(spark, sf_dir).join(training(spark, sf_dir).select("asset", "h", "state", exits.alias("exit_timing")), ["asset", "h"])
+    return rows.withColumns({"confidence": classify.confidence_label(F.col("state"), F.lit("long"))})
 
 
 def grid_sql(parents: list[str], child: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow_queries, market_queries, relational
+from . import flow_queries, inventory_queries, market_queries, position_queries, relational  # noqa: F401  the others register themselves beside the market's
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {**relational.QUERIES, **market_queries.QUERIES, **flow_queries.QUERIES}
