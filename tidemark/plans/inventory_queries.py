@@ -106,7 +106,7 @@ def b05(spark, sf_dir):
     return b.crossJoin(F.broadcast(b.agg(F.max("h").alias("now")))).where("h >= now - 72").select("asset", "h", "close")
 
 
-@query("b10_leakage_guard", "SELECT unnest(['barrier', 'hit', 'state']) AS col")
+@query("b10_leakage_guard", "SELECT unnest(['barrier', 'hit', 'max_up', 'state']) AS col")
 def b10(spark, sf_dir):
     """Columns of the training rows that a feature query must not read."""
     return spark.createDataFrame([(c,) for c in config.leakage(training(spark, sf_dir))], "col string")
@@ -144,9 +144,10 @@ def g15(spark, sf_dir):
     return training(spark, sf_dir).groupBy("asset", "leading_state").agg(F.count_if(won).alias("hits"), F.count_if(~won).alias("misses"))
 
 
-@query("g22_pivot_mean", TRAIN_SQL + " SELECT regime, " + ", ".join(f"round(avg(CASE WHEN state = '{s}' THEN leading END), 6) AS {s}" for s in STATES) + " FROM trn GROUP BY regime")
+@query("g22_pivot_mean", TRAIN_SQL + " SELECT regime, " + ", ".join(f"round(avg(CASE WHEN state = '{s}' THEN leading END), 6) + 0e0 AS {s}" for s in STATES) + " FROM trn GROUP BY regime")
 def g22(spark, sf_dir):
-    return rounded(training(spark, sf_dir).groupBy("regime").pivot("state", STATES).agg(F.avg("leading")))
+    wide = training(spark, sf_dir).groupBy("regime").pivot("state", STATES).agg(F.round(F.avg("leading"), 6))
+    return wide.select("regime", *((F.col(s) + 0.0).alias(s) for s in STATES))
 
 
 @query("g28_return_by_outcome", TRAIN_SQL + ", r AS (SELECT state, (lead(close, 4) OVER (PARTITION BY asset ORDER BY h) - close) / atr AS x FROM trn) SELECT state, count(x) AS n, round(avg(x), 6) AS mean_atr FROM r GROUP BY state")

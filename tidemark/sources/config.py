@@ -46,6 +46,6 @@ def dynamic_select(rows: DataFrame, names: list[str], suffix: str) -> DataFrame:
     return rows.select("asset", "h", *(F.col(n).alias(f"{n}{suffix}") for n in known))
 
 
-def leakage(rows: DataFrame, outcome: tuple[str, ...] = ("barrier", "hit", "state", "outcome")) -> list[str]:
-    """Columns of a feature table that give outcomes away."""
-    return [c for c in rows.columns if any(c == o or c.startswith(f"{o}_") or c.endswith(f"_{o}") for o in outcome)]
+def leakage(rows: DataFrame, outcome: tuple[str, ...] = ("barrier", "hit", "max_up", "max_down", "state")) -> list[str]:
+    """Columns of a feature table that give outcomes away: those named, and all that begin with outcome_."""
+    return [c for c in rows.columns if c in outcome or c.startswith("outcome_")]
