@@ -83,7 +83,10 @@ class Scheme:
         live = (size > 0) & (band >= 0)
         segments = np.where(live, self.difference(high + high * 100 // self.percent) + 1, 0)
         spare = segments - (self.difference(np.minimum(high, size) + size) + 1)
-        deletable = np.where(segments > 1, np.maximum(1, segments // 32), 0)
+        # So many segments of the band have deletion neighbourhoods that they pay for the empty ones all but a few sets have.
+        empties = segments * np.exp(-low[np.clip(band, 0, len(low) - 1)] / np.maximum(segments, 1))
+        deletable = np.maximum(segments // 32, 1 + np.ceil(empties + 2 * np.sqrt(empties)).astype(np.int64))
+        deletable = np.where(segments > 1, np.minimum(deletable, segments), 0)
         keep = live[owner]
         owner, shingle = owner[keep], shingle[keep]
         base = np.cumsum(segments) - segments
