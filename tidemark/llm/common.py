@@ -56,6 +56,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of a batch that Python workers get, but for single rows that are longer. Spark itself bounds rows (10,000), not bytes.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in the session, where it has not set a bound of its own: texts of any length in rows of any
+    number then take the same memory of a worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions_for(spark: SparkSession, n_bytes: float, target: int = 32 << 20) -> int:
     """Partitions that hold about `target` bytes each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // target) + 1)
@@ -91,7 +102,7 @@ def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, pa.Arra
     """(offset, texts) of about `size` bytes each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = np.cumsum(np.array([len(x) if x else 0 for x in column.cast(pa.large_binary()).to_pylist()], np.int64) + 64)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
     start = 0
     while start < len(column):
         end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size, side="right")))

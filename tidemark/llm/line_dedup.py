@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, fresh_names, mix64, partitions_for, stage_table
+from .common import RollingHash, bound_batches, fresh_names, mix64, partitions_for, stage_table, trim
 from .links import INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 CHUNK = 1 << 20
@@ -129,6 +129,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
     do not remove each other's lines; a null key is the largest. Keys are integers. Other columns are left as they are.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(*(c for c in docs.columns if c not in ADDED))
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("_key"), F.col(text).cast("string").alias("_text"))
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -140,6 +141,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
         for batch in batches:
             for own, of, number in line_chunks(batch.column(1).to_pylist(), least):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array(number, pa.int32()), *map(pa.array, line_nodes(own))], names=["_key", "_tag", "line", "node", "check"])
+        trim()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
@@ -153,6 +155,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
                 line, keys, role = signatures(RollingHash(data), starts, size, max_edits)
                 if len(keys):
                     yield key_batch(keys, node[fresh][line], role, parts)
+        trim()
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, hash_words, mix64, partitions_for, pieces, stage_table
+from .common import arrow_words, bound_batches, hash_words, mix64, partitions_for, pieces, stage_table, trim
 from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     no link is lost, and within a component no further pair is. Keys are integers; a null key is never a component_id of others.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
     # A row without a key is found again by its text.
     source = source.withColumns({"_null": F.col("_key").isNull(), "_at": F.coalesce("_key", F.xxhash64("_text"))})
@@ -168,6 +169,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 bins = pa.array([x.tobytes() for x in bins], pa.binary())
                 own = [batch.column(i).slice(start, len(texts)) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), bins], names=["_key", "_null", "_at", "n_shingles", "node", "check", "bins"])
+        trim()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), np.zeros(0, np.int64)
@@ -185,6 +187,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 of, keys, role = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(keys):
                     yield key_batch(keys, node[of], role, parts)
+        trim()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
