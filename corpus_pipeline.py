@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate
-from tidemark.llm.common import fresh_names, stage_table, work_dir
+from tidemark.llm.common import fresh_names, passing_tables, stage_table, work_dir
 from tidemark.llm.line_dedup import ADDED, dedup_lines
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack
@@ -68,11 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's rows are written to the shared folder and read again by the next."""
+    """Applies STAGES to documents; each stage's rows are written to the shared folder and read again by the next. A stage's work
+    tables are deleted once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name}")
+        with passing_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{k}-{name}")
+            schema = out.schema
+            del out
+        docs = spark.read.schema(schema).parquet(f"{base}/{k}-{name}")
     return docs

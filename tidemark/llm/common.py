@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,46 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tidemark"
 
 
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes work tables. Only once all that was derived from them is written itself: a lost executor must not ask for them again."""
+    for t in tables:
+        delete_path(t.sparkSession, t._work_path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the work tables written inside it when it ends well; what shall stay must have been written elsewhere by then.
+    The driver's JVM is asked to collect, as shuffle files go when their plans do."""
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+    for path in written:
+        delete_path(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
 
 
 def fresh_names(columns: list[str], *names: str) -> list[str]:
@@ -239,10 +276,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = stage_table(small, "cc")
+        drop_tables(e, large)
         # Converged once every node has one parent and no parent has a parent.
         many = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         chain = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
         if not many.select(F.lit(1).alias("x")).unionByName(chain.select(F.lit(1).alias("x"))).take(1):
             break
         e = small
-    return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found._work_path = small._work_path
+    return found

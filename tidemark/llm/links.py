@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix64, stage_table
+from .common import components, drop_tables, mix64, stage_table
 
 #: Roles of a signature: in the index, a probe, with one element deleted.
 INDEX, PROBE, DELETED = 1, 2, 4
@@ -145,8 +145,8 @@ def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     pairs = stage_table(pairs, "pairs")
     twins = nodes.where("id <> node").select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
     edges = stage_table(verify(pairs.unionByName(twins), "node"), "links")
-    found = components(edges).withColumnRenamed("node", "id")
-    known = stage_table(nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
+    found = components(edges)
+    known = stage_table(nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
     failed = pairs.join(edges, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         failed = failed.join(known.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")), end)
@@ -155,11 +155,15 @@ def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     own = stars.join(own.join(apart, ["a", "b"], "left_semi").select("h").distinct(), "h", "left_semi")
     members = own.select("h", F.col("c").alias("node")).unionByName(own.select("h", F.col("x").alias("node"))).distinct()
     members = stage_table(members.join(known.select("node", "id", "component"), "node").drop("node"), "members")
+    drop_tables(stars, found, known)
     buckets = members.groupBy("id").agg(F.collect_list("h").alias("hs"))  # at most the signatures of one text
-    members = members.join(buckets, "id").join(nodes.select("id", "n", "bins"), "id")
-    tasks = blocks_across(members, allowed, rows).groupBy("h", "i", "j")
+    placed = members.join(buckets, "id").join(nodes.select("id", "n", "bins"), "id")
+    tasks = blocks_across(placed, allowed, rows).groupBy("h", "i", "j")
     more = tasks.applyInArrow(lambda t: pairs_across(t, allowed), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    classes = components(edges.unionByName(verify(stage_table(more, "pairs"), "id"))).withColumnRenamed("node", "id")
+    more = stage_table(more, "pairs")
+    drop_tables(members, pairs)
+    classes = components(edges.unionByName(verify(more, "id"))).withColumnRenamed("node", "id")
+    drop_tables(edges, more)
     return nodes.select("node", "check", "id").join(classes, "id", "left").select("node", "check", F.coalesce("component", "id").alias("component"))
 
 

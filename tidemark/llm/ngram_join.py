@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_words, bound_batches, hash_words, mix64, partitions_for, pieces, stage_table, trim
+from .common import arrow_words, bound_batches, drop_tables, hash_words, mix64, partitions_for, pieces, stage_table, trim
 from .links import DELETED, INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         return ((100 + percent) * differ <= (100 - percent) * (small + large)) & (100 * small >= percent * large)
 
     found = link_components(stars, nodes, lambda pairs, by: similar_pairs(pairs, sets, by, percent), allowed)
+    drop_tables(sets)
     label = labelled(rows, found)
     smallest = label.where("n_shingles > 0").groupBy("label", "part").agg(F.min("_key").alias("component_id"))
     out = label.join(smallest, ["label", "part"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_key")))
