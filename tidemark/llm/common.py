@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -61,17 +62,27 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
         _WRITTEN.reset(token)
     for path in written:
         delete_path(spark, path)
+    free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect: shuffle files go when their plans do, which else is whenever the driver's memory is short.
+    What refers to the plan of the last write goes in a first collection, the plan in a second."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.1)  # right after the first, a second one misses half of the plans
+    spark._jvm.System.gc()
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors. The shuffle files of the
+    write are freed at once."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
     df.write.parquet(path)
+    free_shuffles(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._work_path = path
     return table

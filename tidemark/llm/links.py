@@ -123,7 +123,7 @@ def with_ids(nodes: DataFrame) -> DataFrame:
 
 
 def blocks_across(members: DataFrame, allowed: Callable, rows: int) -> DataFrame:
-    """Members (h, id, n and more) with the block pair (i, j) and own block `at` of each task that compares them. A bucket of up to
+    """Members (h, id, n) with the block pair (i, j) and own block `at` of each task that compares them. A bucket of up to
     `rows` members is one block; a larger one is cut by size, and blocks meet whose sizes allow links."""
     rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "id"))
     placed = members.withColumn("at", F.floor((rank - 1) / rows).cast("int"))
@@ -156,9 +156,10 @@ def link_components(stars: DataFrame, nodes: DataFrame, verify: Callable[[DataFr
     members = own.select("h", F.col("c").alias("node")).unionByName(own.select("h", F.col("x").alias("node"))).distinct()
     members = stage_table(members.join(known.select("node", "id", "component"), "node").drop("node"), "members")
     drop_tables(stars, found, known)
-    buckets = members.groupBy("id").agg(F.collect_list("h").alias("hs"))  # at most the signatures of one text
-    placed = members.join(buckets, "id").join(nodes.select("id", "n", "bins"), "id")
-    tasks = blocks_across(placed, allowed, rows).groupBy("h", "i", "j")
+    # Blocks are laid out on narrow rows; sketches and buckets (at most the signatures of one text) join the tasks, and move once.
+    wide = members.groupBy("id").agg(F.first("component").alias("component"), F.collect_list("h").alias("hs")).join(nodes.select("id", "bins"), "id")
+    placed = blocks_across(members.select("h", "id").join(nodes.select("id", "n"), "id"), allowed, rows)
+    tasks = placed.join(wide, "id").groupBy("h", "i", "j")
     more = tasks.applyInArrow(lambda t: pairs_across(t, allowed), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = stage_table(more, "pairs")
     drop_tables(members, pairs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, fresh_names, stage_table
+from .common import WHITESPACE, drop_tables, fresh_names, stage_table
 
 #: Character classes of word characters, and the symbols among the last of them; what is beyond ASCII is a class, and so is the
 #: rest (lower-case ASCII, control characters).
@@ -89,7 +89,9 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
         "_lang", F.transform("top", lambda x: x["w"]).alias("_common"), shares(F.concat("n", F.array(rest)), F.col("total")).alias("_word_ref"),
         shares(F.array(*(F.col(f"k{i}") for i in range(5))), sum((F.col(f"k{i}") for i in range(1, 5)), F.col("k0"))).alias("_class_ref"),
     )
-    return stage_table(out, "references")
+    out = stage_table(out, "references")
+    drop_tables(vocabulary, totals)
+    return out
 
 
 def quality_rules(docs: DataFrame, references: DataFrame | None = None, text: str = "text", lang: str = "lang", window: int = 5, guard_words: int = 60, max_class_distance: float = 0.30, max_word_distance: float = 0.65, max_word_share: float | None = None, max_reference_rows: int = 10_000, **reference_options) -> DataFrame:
@@ -100,7 +102,8 @@ def quality_rules(docs: DataFrame, references: DataFrame | None = None, text: st
     ones are too few words for a histogram and pass that rule. max_word_share, where given, bounds the word distance by that
     share of what a text without any common word has in its language, besides max_word_distance. Null text has no words; a language without reference passes.
     At most max_reference_rows references are broadcast, more are joined. No row is dropped, repeated or moved between tasks.
-    A filter on the verdict would be merged with the projections and work them out anew: write the rows out before it.
+    A filter on the verdict would be merged with the projections and work them out anew: write the rows out before it, or make
+    the verdict count as not deterministic.
     """
     spark = docs.sparkSession
     docs = docs.select(*(c for c in docs.columns if c not in RULE_COLUMNS))
