@@ -117,6 +117,17 @@ def sample(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return text[a], a, n, h[at[a]], mix64(mix64(window[a] + n.astype(np.uint64)) ^ window[a + n - 1])
 
 
+def sample_key(gram: np.ndarray) -> np.ndarray:
+    """32 bits of a k-gram's hash by which samples meet inside a part. Not the high ones: minimizers have small values there, so
+    from some GB on nearly all samples would share them with other k-grams."""
+    return gram & np.uint64(0xFFFFFFFF)
+
+
+def sample_part(gram: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a k-gram's samples, by all its bits: parts grow with the input, so part and key together tell k-grams apart at any size."""
+    return ((mix64(gram) >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+
+
 def chunks(raws: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, ends, index of the text, offset in it) of pieces of about CHUNK bytes; pieces of a longer text overlap so that each window is in one."""
     held, size = [], 0
@@ -201,12 +212,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                     continue
                 row = of[piece]
                 a = a - np.concatenate(([0], ends[:-1]))[piece] + offset[piece]
-                fields = {"fp": mix64(gram ^ mix64(run)), "key": gram >> np.uint64(32), "doc": ids[row], "tag": tag[row], "block": block[row], "a": a, "n": m}
+                fields = {"fp": mix64(gram ^ mix64(run)), "key": sample_key(gram), "doc": ids[row], "tag": tag[row], "block": block[row], "a": a, "n": m}
                 late = index.add(fields["fp"], fields["doc"], fields["a"])
                 sent = {f: v[~late] for f, v in fields.items()}
                 gone = {f: v[late] for f, v in fields.items()}
                 gone["n"] = gone["n"] + length - 1
-                rows = _rows(SAMPLES, (sent["key"].astype(np.int64) * 0x9E3779B1 >> 7) % parts, sent)
+                rows = _rows(SAMPLES, sample_part(gram[~late], parts), sent)
                 yield _batch(rows + _rows(RUNS, gone["block"], {f: gone[f] for f in ("doc", "tag", "a", "n")}))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
