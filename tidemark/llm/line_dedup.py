@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, bound_batches, fresh_names, mix64, partitions_for, stage_table, trim
+from .common import bound_batches, fresh_names, mix64, partitions_for, stage_table, trim
 from .links import INDEX, KEYS, PROBE, STARS, bucket_stars, key_batch, labelled, link_components, star_nodes, with_ids
 
 CHUNK = 1 << 20
@@ -51,17 +51,18 @@ def line_nodes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def signatures(rolling: RollingHash, starts: np.ndarray, n: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(own: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, role): each line's own segments, and its substrings that can equal a segment of a line of its length or up to
-    `edits` shorter (multi-match-aware positions)."""
+    `edits` shorter (multi-match-aware positions). A key is a hash of the substring's code points, salted by length and number."""
     k = edits + 1
+    data, starts, n = line_points(own)
     lines = np.arange(len(n))
     out = []
 
     def add(use: np.ndarray, at: np.ndarray, size: np.ndarray, i: int, length: np.ndarray, role: int) -> None:
         salt = mix64(length[use].astype(np.uint64) * np.uint64(64) + np.uint64(i))
         begin = starts[use] + at[use]
-        out.append((lines[use], mix64(rolling.of(begin, begin + size[use]) + salt), np.full(int(use.sum()), role, np.uint8)))
+        out.append((lines[use], begin << 32 | begin + size[use], salt, np.full(len(begin), role, np.uint8)))
 
     for delta in range(edits + 1):
         length = n - delta
@@ -75,8 +76,11 @@ def signatures(rolling: RollingHash, starts: np.ndarray, n: np.ndarray, edits: i
                 if (not delta and not shift) or abs(shift) > i or abs(shift - delta) > k - 1 - i:
                     continue
                 add((length >= k) & (at + shift >= 0) & (at + shift + size <= n), at + shift, size, i, length, PROBE)
-    line, key, role = (np.concatenate(x) for x in zip(*out, strict=True))
-    return line, key, role
+    line, span, salt, role = (np.concatenate(x) for x in zip(*out, strict=True))
+    spans, place = np.unique(span, return_inverse=True)  # segments for other lengths are often the same
+    data, bounds = data.tobytes(), zip((4 * (spans >> 32)).tolist(), (4 * (spans & 0xFFFFFFFF)).tolist(), strict=True)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in bounds), np.uint64, len(spans))
+    return line, mix64(hashes[place] + salt), role
 
 
 def within_edits(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -144,15 +148,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", max_ed
         trim()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.int64)
+        known = np.zeros(0, np.int64)  # sorted
         for batch in batches:
             for own, _, _ in line_chunks(batch.column(1).to_pylist(), min_chars):
                 node, _ = line_nodes(own)
                 fresh = np.unique(node, return_index=True)[1]
-                fresh = fresh[~np.isin(node[fresh], known)]  # one of a task's equal lines is enough
-                known = np.concatenate((known, node[fresh]))
-                data, starts, size = line_points([own[i] for i in fresh])
-                line, keys, role = signatures(RollingHash(data), starts, size, max_edits)
+                at = np.searchsorted(known, node[fresh])
+                fresh = fresh[np.append(known, 0)[at] != node[fresh]]  # one of a task's equal lines is enough; no node is zero
+                known = np.sort(np.concatenate((known, node[fresh])), kind="stable")
+                line, keys, role = signatures([own[i] for i in fresh], max_edits)
                 if len(keys):
                     yield key_batch(keys, node[fresh][line], role, parts)
         trim()
